@@ -213,7 +213,7 @@ def mix_documents(docs: DataFrame, targets: DataFrame, options: MixOptions = Mix
     plan, by_label, total = fit_rates(scored, domains.labels, cap, share, ratio, options)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", kind="stable")
+        pdf = pdf.sort_values(["n_tokens", "doc_id"], ascending=[False, True], kind="stable")  # small ones make up for large ones
         own, n, p = _numbers(pdf, plan.labels)
         x = plan.rates(own, p)
         out = []
