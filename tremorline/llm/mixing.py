@@ -36,8 +36,8 @@ class MixOptions:
     sample_docs: int = 20_000
     label_weight: float = 0.9
     soft_rounds: int = 10
-    label_rounds: int = 8
-    tolerance: float = 1e-3
+    label_rounds: int = 15
+    tolerance: float = 1e-4
     shard_docs: int = 200_000
 
 
@@ -167,19 +167,22 @@ def fit_rates(scored: DataFrame, labels: list[str], cap: np.ndarray, share: np.n
 
             def reached(pdf: pd.DataFrame, phase: bool = phase) -> np.ndarray:
                 own, n, p = _numbers(pdf, labels)
-                x = plan.rates(own, p) * n[:, None]
-                if phase:
-                    return np.stack([np.bincount(np.maximum(own, 0), weights=x[:, i], minlength=k) for i in range(m)]).ravel()
-                return (x.T @ p).ravel()
-
-            now = _totals(scored, reached, m * k).reshape(m, k) if m and k else np.zeros((m, k))
-            rest = plan.target - now
+                x = plan.rates(own, p)
+                if not phase:
+                    return ((x * n[:, None]).T @ p).ravel()
+                top = np.where((own >= 0)[:, None], plan.cap.T[np.maximum(own, 0)], 0.0)
+                parts = (x, x < top, x > 0)  # totals, and the tokens that could still go up or down
+                return np.stack([np.bincount(np.maximum(own, 0), weights=v[:, i] * n, minlength=k) for v in parts for i in range(m)]).ravel()
+
+            got = _totals(scored, reached, (3 if phase else 1) * m * k).reshape(-1, m, k) if m and k else np.zeros((3, m, k))
+            now, rest = got[0], plan.target - got[0]
             scale = np.maximum(plan.target.sum(axis=1, keepdims=True), 1.0)
             if before is not None and (np.abs(now - before) / scale).max(initial=0) < options.tolerance:
                 break
             before = now
             if phase:
-                step = np.where(by_label > 0, rest / np.maximum(by_label, 1.0), 0.0)
+                free = np.where(rest > 0, got[1], got[2])
+                step = np.where(free > 0, rest / np.maximum(free, 1.0), 0.0)
             else:
                 step = np.einsum("mij,mj->mi", inverse, rest)
             plan.steps.append((phase, step))
@@ -191,8 +194,8 @@ def mix_documents(docs: DataFrame, targets: DataFrame, options: MixOptions = Mix
 
     ``uses``: ``mix_id, doc_id, source, n_tokens, uses``, one row per document that a mix takes, 1 to
     ``max_uses`` times. ``shares``: one row per row of ``targets`` with ``target_tokens``,
-    ``source_tokens``, ``capacity_tokens`` (all uses), ``feasible``, ``actual_tokens`` and ``actual_share`` (of the mix's
-    intended size). Sources are compared without case and surrounding blanks. Documents without source belong
+    ``source_tokens``, ``capacity_tokens`` (all uses), ``feasible``, ``actual_tokens``, ``actual_share`` (of the mix's
+    intended size) and ``reached_share`` (of the size it reached). Sources are compared without case and surrounding blanks. Documents without source belong
     to no source but count in the size of all documents; null texts have no size. A source without
     documents, or with too few, is taken as often as allowed and its row is not feasible.
     """
@@ -233,12 +236,15 @@ def mix_documents(docs: DataFrame, targets: DataFrame, options: MixOptions = Mix
     uses = sharded.groupBy("shard").applyInPandas(kernel, "mix_id int, doc_id bigint, source string, n_tokens bigint, uses int")
     uses = cut(uses, "uses")
     got = {(r[0], r[1]): r[2] for r in uses.groupBy("mix_id", "source").agg(F.sum(F.col("uses") * F.col("n_tokens"))).collect()}
+    reached: dict[int, int] = {}
+    for (mix, _), n in got.items():
+        reached[mix] = reached.get(mix, 0) + int(n)
     report = []
     for r in wanted:
         size = float(r.total_ratio) * total
         own = float(by_label[at[r.label]]) if r.label in at else 0.0
         actual = int(got.get((r.mix_id, r.label), 0))
         goal, most = r.target_share * size, r.max_uses * own
-        report.append((r.mix_id, r.source, r.target_share, actual / size if size else 0.0, goal, own, most, actual, r.max_uses, not most < goal))
-    shares = spark.createDataFrame(report, "mix_id int, source string, target_share double, actual_share double, target_tokens double, source_tokens double, capacity_tokens double, actual_tokens bigint, max_uses int, feasible boolean")
+        report.append((r.mix_id, r.source, r.target_share, actual / size if size else 0.0, actual / max(1, reached.get(r.mix_id, 0)), goal, own, most, actual, r.max_uses, not most < goal))
+    shares = spark.createDataFrame(report, "mix_id int, source string, target_share double, actual_share double, reached_share double, target_tokens double, source_tokens double, capacity_tokens double, actual_tokens bigint, max_uses int, feasible boolean")
     return uses, shares
