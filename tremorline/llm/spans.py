@@ -30,7 +30,7 @@ from tremorline.session import cut, join_hot
 MIN_CHARS = 150
 GEAR = 32
 SPREAD = (MIN_CHARS - GEAR + 1) // 2
-CHUNK_ROWS = "digest bigint, doc_id bigint, lo bigint, hi bigint, key bigint"
+CHUNK_ROWS = "digest bigint, doc_id bigint, place bigint"
 INTERVALS = "doc_id bigint, span_start bigint, span_end bigint"
 
 
@@ -155,7 +155,8 @@ def _chunk_kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, texts = pdf["doc_id"].to_numpy("i8"), pdf["text"].to_list()
         for part in _portions([len(t) for t in texts]):
             doc, lo, hi, key, digest = chunks(texts[part])
-            yield pd.DataFrame({"digest": digest, "doc_id": ids[part][doc], "lo": lo, "hi": hi, "key": key})
+            place = (lo << 16) | (hi - lo << 8) | (key - lo)  # both differences are below SPREAD; one number makes rows short
+            yield pd.DataFrame({"digest": digest, "doc_id": ids[part][doc], "place": place})
 
 
 def _portions(sizes: list[int], most: int = 1_000_000) -> Iterator[slice]:
@@ -174,11 +175,12 @@ def _context_kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = {k: [] for k in ("digest", "doc_id", "lo", "off", "ctx", "hot")}
         for doc, text, parts in zip(pdf["doc_id"], pdf["text"], pdf["parts"], strict=True):
             for c in parts:
+                lo, more, off = c["place"] >> 16, c["place"] >> 8 & 255, c["place"] & 255
                 out["digest"].append(c["digest"])
                 out["doc_id"].append(doc)
-                out["lo"].append(c["lo"])
-                out["off"].append(c["key"] - c["lo"])
-                out["ctx"].append(text[c["lo"] : c["hi"] + MIN_CHARS])
+                out["lo"].append(lo)
+                out["off"].append(off)
+                out["ctx"].append(text[lo : lo + more + MIN_CHARS])
                 out["hot"].append(c["hot"])
         yield pd.DataFrame(out).astype({"digest": "i8", "doc_id": "i8", "lo": "i8", "off": "i8", "ctx": object, "hot": bool})
 
@@ -222,9 +224,9 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, hot_rows: int = 20
 
     found = cut(texts.mapInPandas(_chunk_kernel, CHUNK_ROWS), "chunks")
     digests = found.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    digests = digests.where("a <> b").select("digest", (F.col("n") > hot_rows).alias("hot"))
-    shared = join_hot(found, digests, "digest")
-    parts = shared.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "lo", "hi", "key", "hot")).alias("parts"))
+    digests = cut(digests.where("a <> b").select("digest", "n", (F.col("n") > hot_rows).alias("hot")), "digests")
+    shared = join_hot(found, digests.select("digest", "hot"), "digest", counts=digests)
+    parts = shared.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "place", "hot")).alias("parts"))
     rows = cut(texts.join(parts, "doc_id").mapInPandas(_context_kernel, "digest bigint, doc_id bigint, lo bigint, off bigint, ctx string, hot boolean"), "contexts")
 
     warm = rows.where("not hot").repartition("digest").sortWithinPartitions("digest")
