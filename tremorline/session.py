@@ -75,19 +75,20 @@ def small_side(df: DataFrame, label: str, max_rows: int = SMALL_ROWS) -> DataFra
     return F.broadcast(table) if table.count() <= max_rows else table
 
 
-def join_hot(big: DataFrame, small: DataFrame, key: str, how: str = "inner", hot_share: float = 1e-4, least: int = 100_000) -> DataFrame:
+def join_hot(big: DataFrame, small: DataFrame, key: str, how: str = "inner", hot_share: float = 1e-4, least: int = 100_000, counts: DataFrame | None = None) -> DataFrame:
     """Join ``big`` with ``small`` (one row per key) without letting a hot key fill one task.
 
     A key is hot when it holds more than ``max(least, hot_share * rows)`` rows of ``big``, so there are
     at most ``1 / hot_share`` hot keys; their rows of ``small`` are broadcast and the rows of ``big``
     stay where they are. All other keys are joined by shuffle. ``how`` is inner or left.
+    ``counts`` may give the rows of ``big`` per key as ``(key, n)``, if they are known.
     """
-    counts = big.groupBy(key).agg(F.count("*").alias("_n"))
+    counts = big.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
     total = big.count()
     limit = max(least, int(hot_share * total))
     if total <= limit:
         return big.join(small, key, how)
-    hot = [r[0] for r in counts.where((F.col("_n") > limit) & F.col(key).isNotNull()).select(key).collect()]
+    hot = [r[0] for r in counts.where((F.col("n") > limit) & F.col(key).isNotNull()).select(key).collect()]
     if not hot:
         return big.join(small, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
