@@ -112,3 +112,44 @@ def as_known(
         return pd.DataFrame({"event_id": ids[hit], "attr_id": aid[got[hit]]})
 
     return ev.groupBy("entity", "shard").cogroup(at.groupBy("entity", "shard")).applyInPandas(kernel, "event_id bigint, attr_id bigint")
+
+
+def first_epoch(times: np.ndarray, t0: np.ndarray, t1: np.ndarray) -> np.ndarray:
+    """Index of the first row with ``t0 < time < t1``, or -1."""
+    if not len(t0):
+        return np.full(len(times), -1, "i8")
+    bounds = np.unique(np.concatenate([t0, t1]))
+    # leaves: every bound by itself and every gap between two bounds
+    first = np.full(2 * len(bounds) + 1, -1, "i8")
+    a, b = np.searchsorted(bounds, t0), np.searchsorted(bounds, t1)
+    for k in range(len(t0) - 1, -1, -1):
+        first[2 * a[k] + 2 : 2 * b[k] + 1] = k
+    at = np.searchsorted(bounds, times, side="right")
+    on = (at > 0) & (bounds[np.maximum(at, 1) - 1] == times)
+    return first[np.where(on, 2 * at - 1, 2 * at)]
+
+
+def epoch_lookup(events: DataFrame, epochs: DataFrame, event_id: str, event_entity: str, event_time: str, epoch_id: str, epoch_entity: str, valid_from: str, valid_to: str, shard_rows: int = 200_000) -> DataFrame:
+    """``(event_id, epoch_id, matched boolean)``: the first epoch by id whose open interval holds the event's time.
+
+    Where none does, the entity's last epoch by id is used and ``matched`` is false. Null bounds are open. Events
+    without entity or time, and of entities without epochs, are left out; repeated rows count once.
+    """
+    ev = events.select(F.col(event_id).cast("bigint").alias("id"), code(event_entity).alias("entity"), micros(event_time).alias("t")).where("id is not null and entity is not null and t is not null")
+    at = epochs.select(F.col(epoch_id).cast("bigint").alias("eid"), code(epoch_entity).alias("entity"), F.coalesce(micros(valid_from), F.lit(-OPEN)).alias("t0"), F.coalesce(micros(valid_to), F.lit(OPEN)).alias("t1"))
+    at = at.where("eid is not null and entity is not null").dropDuplicates(["eid"])
+    shards = small_side(ev.groupBy("entity").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")), "shards")
+    ev = ev.join(shards, "entity").select("id", "entity", "t", F.pmod(F.xxhash64("id"), F.col("shards").cast("bigint")).cast("int").alias("shard"))
+    at = at.join(shards, "entity").select("eid", "entity", "t0", "t1", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+
+    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"event_id": np.array([], "i8"), "epoch_id": np.array([], "i8"), "matched": np.array([], bool)})
+        ids, first = np.unique(left["id"].to_numpy(), return_index=True)
+        right = right.sort_values("eid")
+        proper = (right["t0"] < right["t1"]).to_numpy()
+        eid = right["eid"].to_numpy()
+        got = first_epoch(left["t"].to_numpy()[first], right["t0"].to_numpy()[proper], right["t1"].to_numpy()[proper])
+        return pd.DataFrame({"event_id": ids, "epoch_id": np.where(got >= 0, np.append(eid[proper], 0)[got], eid[-1]), "matched": got >= 0})
+
+    return ev.groupBy("entity", "shard").cogroup(at.groupBy("entity", "shard")).applyInPandas(kernel, "event_id bigint, epoch_id bigint, matched boolean")

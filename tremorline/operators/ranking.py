@@ -30,13 +30,13 @@ def cap_with_ties(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
 
 
 def median_without_outlier(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str]) -> DataFrame:
-    """Per group the median after the one value farthest from the median was left out (the first by ``tie`` of equals).
+    """Per group the median after the one value farthest from the median was left out (the first by ``tie`` of those equal to 1e-9).
 
     Groups of one value have a null median. Null values do not count.
     """
     own = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     medians = own.groupBy(*keys).agg(F.median(value).alias("_median"))
-    dev = own.join(medians, list(keys)).withColumn("_dev", F.abs(F.col(value) - F.col("_median")))
+    dev = own.join(medians, list(keys)).withColumn("_dev", F.round(F.abs(F.col(value) - F.col("_median")), 9))
     worst = dev.groupBy(*keys).agg(F.min(F.struct((-F.col("_dev")).alias("d"), *tie)).alias("_w"))
     same = F.lit(True)
     for t in tie:

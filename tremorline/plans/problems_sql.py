@@ -87,4 +87,7 @@ UNION ALL
 SELECT event_id, 'zone', zone_id FROM e JOIN ring ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1
 GROUP BY event_id, zone_id HAVING count(*) % 2 = 1"""
 
-ORACLES = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_rows": P4_ROWS, "p5_found": P5_FOUND}
+O05_GAIN_EPOCHS = P4_ROWS.replace("SELECT s.line_no, s.file_name, upper", "SELECT DISTINCT upper")
+O83_FIRST_STATION = f"SELECT net_sta, line_no, lat, lon FROM (SELECT *, row_number() OVER (PARTITION BY net_sta ORDER BY line_no) AS r FROM ({P4_ROWS})) WHERE r = 1"
+
+ORACLES = {"o05_gain_epochs": O05_GAIN_EPOCHS, "o83_first_station": O83_FIRST_STATION, "p1_found": P1_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_rows": P4_ROWS, "p5_found": P5_FOUND}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tremorline.plans import problems, problems_sql
+from tremorline.plans import associate, problems, problems_sql, relational, relational_sql
 
-FLAGSHIP = "p1_found"
-QUERIES = {**problems.QUERIES}
-ORACLES = {**problems_sql.ORACLES}
+FLAGSHIP = "o54_associate"
+QUERIES = {**relational.QUERIES, **associate.QUERIES, **problems.QUERIES}
+ORACLES = {**relational_sql.ORACLES, **problems_sql.ORACLES}
