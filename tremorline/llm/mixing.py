@@ -60,7 +60,7 @@ def train_domains(docs: DataFrame, options: MixOptions) -> Domains:
     """Train on at most about ``sample_docs`` labelled documents, chosen by a hash of their id."""
     labelled = docs.where("label is not null and text is not null")
     sizes = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}
-    labels, total = sorted(sizes), sum(sizes.values())
+    labels, total = sorted(sizes) or [""], sum(sizes.values())  # a label that no document has, if there are none
     at = {label: k for k, label in enumerate(labels)}
     share = min(1.0, options.sample_docs / max(1, total))
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else labelled
@@ -78,7 +78,7 @@ def train_domains(docs: DataFrame, options: MixOptions) -> Domains:
     counts = np.ones((len(labels), BUCKETS)) * 0.5
     for k, b, n in sample.select("label", "text").mapInPandas(kernel, "k int, b int, n double").groupBy("k", "b").agg(F.sum("n")).collect():
         counts[k, b] += n
-    prior = np.log(np.array([sizes[x] for x in labels], "f8") / max(1, total)) if labels else np.zeros(0)
+    prior = np.log(np.array([sizes.get(x, 1) for x in labels], "f8") / max(1, total))
     return Domains(labels, np.log(counts / counts.sum(axis=1, keepdims=True)), prior)
 
 

@@ -43,6 +43,8 @@ def best_filling(counts: dict[int, int], lengths: list[int], room: int) -> dict[
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Container number of every item; each size is in ``0..capacity``. Items of size 0 go to container 0."""
     out = np.zeros(len(sizes), "i8")
+    if not len(sizes):
+        return out
     order = np.argsort(sizes, kind="stable")
     values, first = np.unique(sizes[order], return_index=True)
     stacks = {int(v): part.tolist() for v, part in zip(values, np.split(order, first[1:]), strict=True) if v > 0}

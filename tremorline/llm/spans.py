@@ -116,7 +116,8 @@ def window_hashes(cps: np.ndarray, size: int) -> np.ndarray:
         if not left:
             return out
         h = h[:-width] * power + h[width:]
-        power, width = power * power, 2 * width
+        with np.errstate(over="ignore"):
+            power, width = power * power, 2 * width
 
 
 def windows_of(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
