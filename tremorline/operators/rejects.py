@@ -82,9 +82,11 @@ def split_rows(lines: DataFrame, line_col: str, schemas: Sequence[RowSchema] = S
     ``columns`` if no schema has so many fields, else ``value``; ``broken`` is the position (from 1) of
     the first broken field, for ``columns`` the first one missing or too many. Remarks (first
     non-blank character ``#``) are dropped. A null line is treated as an empty one: ``columns``.
-    Names of columns in ``lines`` other than the added ones do not matter.
+    Other columns are kept as they are; columns of the added names are replaced.
     """
-    line = F.coalesce(F.col(line_col), F.lit(""))
+    kept = [c for c in lines.columns if c not in ("parts", "reason", "broken")]
+    lines = lines.select(F.struct(*kept).alias("_row"), F.coalesce(F.col(line_col), F.lit("")).alias("_line"))
+    line = F.col("_line")
     rows = lines.where(~line.rlike(r"\A\s*#"))
     # Without its well quoted fields, a line that still has a quote is broken, and its commas count.
     bare = F.regexp_replace(line, QUOTED, "$1")
@@ -104,7 +106,7 @@ def split_rows(lines: DataFrame, line_col: str, schemas: Sequence[RowSchema] = S
     valid = ~bad_quote & F.col("_fits").isNotNull() & F.coalesce(ranged, F.lit(False))
     reason = F.when(valid, F.lit(None)).when(bad_quote, "quoting").when(~counted, "columns").otherwise("value")
     rows = rows.withColumn("reason", reason)
-    return rows.withColumn("broken", _first_broken(line, schemas)).drop("_bare", "_n", "_fits")
+    return rows.withColumn("broken", _first_broken(line, schemas)).select(*[F.col("_row")[c].alias(c) for c in kept], "parts", "reason", "broken")
 
 
 def _part(i: int) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tremorline.plans import associate, problems, problems_sql, relational, relational_sql
+from tremorline.plans import associate, problems, problems_sql, relational, relational_sql, waveform_queries
 
 FLAGSHIP = "o54_associate"
-QUERIES = {**relational.QUERIES, **associate.QUERIES, **problems.QUERIES}
+QUERIES = {**relational.QUERIES, **associate.QUERIES, **waveform_queries.QUERIES, **problems.QUERIES}
 ORACLES = {**relational_sql.ORACLES, **problems_sql.ORACLES}
