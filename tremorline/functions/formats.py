@@ -94,3 +94,44 @@ def hypodd_head(ot: Column, lat: Column, lon: Column, dep: Column, mag: Column,
 
 def hypodd_phase(sta: Column, travel_s: Column, phase: str, weight: float = 1.0) -> Column:
     return F.format_string(f"%-5s      %6.3f  {weight:6.3f}   {phase}", F.substring_index(sta, ".", -1), travel_s)
+
+
+def hypoinverse_head(ot: Column, lat: Column, lon: Column, evid: Column) -> Column:
+    """An event line in fixed columns; the magnitude is written as 0 and joined back by ``evid`` after the location."""
+    place = F.concat(degree_minutes(lat, "N", "S", 2), degree_minutes(lon, "E", "W", 3))
+    return F.concat(F.date_format(F.timestamp_micros(ot), "yyyyMMddHHmmssSS"), place, F.lit(" " * 91 + "L0.00" + " " * 9), F.lpad(evid.cast("string"), 10, " "), F.lit("L"))
+
+
+def hypoinverse_station(sta: Column, lat: Column, lon: Column, ele_m: Column) -> Column:
+    """A station line in fixed columns: degrees, decimal minutes and whole metres."""
+    minutes = lambda x: (F.abs(x) - F.floor(F.abs(x))) * 60
+    side = lambda x, a, b: F.when(x < 0, b).otherwise(a)
+    net, name = F.substring_index(sta, ".", 1), F.substring_index(sta, ".", -1)
+    text = F.format_string("%-5s %s  HHZ  %2d %7.4f%s%3d %7.4f%s%4d", name, net, F.floor(F.abs(lat)), minutes(lat), side(lat, "N", "S"), F.floor(F.abs(lon)), minutes(lon), side(lon, "E", "W"), ele_m.cast("int"))
+    return text
+
+
+def link_lines(links: DataFrame) -> DataFrame:
+    """``evid1, evid2, ord, line``: a head ``# evid1 evid2 0.0`` per pair, then ``sta dt weight phase`` per link."""
+    heads = links.select("evid1", "evid2").distinct().select("evid1", "evid2", F.lit("").alias("ord"), F.format_string("# %9d %9d 0.0", "evid1", "evid2").alias("line"))
+    body = links.select("evid1", "evid2", F.concat_ws(" ", "sta", "phase").alias("ord"), F.format_string("%-7s %7.4f %.4f %s", "sta", "dt", "weight", "phase").alias("line"))
+    return heads.unionByName(body)
+
+
+def event_line(ot: Column, lat: Column, lon: Column, dep: Column, mag: Column, evid: Column) -> Column:
+    """``yyyyMMdd  HHmmssSS lat lon dep mag errors evid``."""
+    at = F.timestamp_micros(ot)
+    return F.format_string("%s  %s  %8.4f  %9.4f  %8.2f  %5.2f    0.0   0.0   0.0 %9d", F.date_format(at, "yyyyMMdd"), F.date_format(at, "HHmmssSS"), lat, lon, dep, mag, evid)
+
+
+def parse_event_lines(lines: DataFrame) -> DataFrame:
+    """``evid, mag`` of event lines; others are left out."""
+    w = F.split(F.trim("line"), r"\s+")
+    rows = lines.select(F.element_at(w, -1).try_cast("bigint").alias("evid"), F.get(w, F.lit(5)).try_cast("double").alias("mag"))
+    return rows.where("evid is not null and mag is not null")
+
+
+def location_lines(best: DataFrame) -> DataFrame:
+    """The catalogue line of every best location with its verdict: the files of good and bad locations are its two parts."""
+    line = F.concat_ws(",", compact_time(F.col("ot")), F.format_string("%.4f", "lat"), F.format_string("%.4f", "lon"), F.format_string("%.1f", "dep"))
+    return best.select("evid", "reliable", line.alias("line"))

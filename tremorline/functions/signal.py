@@ -129,6 +129,12 @@ def demean_detrend_taper(x: np.ndarray, fs: float, share: float = 0.05, longest_
     return y
 
 
+def prepare_match(data: np.ndarray, fs: float, new_fs: float, low: float | None = 1.0, high: float | None = 20.0) -> np.ndarray:
+    """Channels ready for matching: tapered, resampled, values finite, filtered. Nothing is repaired."""
+    rows = [resample(demean_detrend_taper(finite(np.asarray(x, "f8")), fs), fs, new_fs) for x in data]
+    return np.stack([bandpass(finite(x), new_fs, low, high) for x in rows])
+
+
 def _butterworth(f: np.ndarray, fs: float, low: float | None, high: float | None, corners: int) -> np.ndarray:
     """Frequency response of a causal Butterworth filter made by the bilinear transform."""
     warp = lambda hz: 2 * fs * np.tan(np.pi * np.minimum(hz, 0.499 * fs) / fs)

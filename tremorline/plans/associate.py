@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tremorline.functions.geo import KM_PER_DEGREE, hypo_km, origin_time
 from tremorline.operators.ordered import time_islands
+from tremorline.operators.ranking import best_row
 from tremorline.plans import tables
 
 HOUR = 3_600_000_000
@@ -158,4 +159,59 @@ def o54_associate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.timestamp_micros("ot").alias("ot"), "lat", "lon", "dep", "mag", "res", "n_picks")
 
 
-QUERIES = {"o54_associate": o54_associate}
+LOCATION = "evid bigint, dep double, lat double, lon double, n_pha int, rms double, gap double"
+
+
+def azimuthal_gap(azimuths: np.ndarray) -> float:
+    """The greatest angle between neighbouring directions, in degrees; 360 for one."""
+    a = np.sort(azimuths % 360)
+    return float(np.max(np.diff(np.append(a, a[0] + 360)))) if len(a) else 360.0
+
+
+def trial_locations(picks: DataFrame, stations: DataFrame, options: AssociationOptions = AssociationOptions(), batch: int = 500) -> DataFrame:  # noqa: B008
+    """Every event located at every trial depth (O-78): ``evid, dep, lat, lon, n_pha, rms, gap``.
+
+    ``picks (evid, sta, ot, tp)`` in microseconds. A depth at which fewer than ``min_sta`` picks are explained gives no row. About
+    ``batch`` events share a task's travel times; the station table must fit a task, as in ``associate``.
+    """
+    if stations.count() > 100_000:
+        raise ValueError("more than 100000 stations")
+    table = stations.toPandas()
+    if table.empty:
+        return picks.sparkSession.createDataFrame([], LOCATION)
+    own = picks.join(stations.select("sta"), "sta", "left_semi").where("evid is not null and ot is not null and tp is not null")
+    parts = max(1, own.select("evid").distinct().count() // batch)
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        times, rows = TravelTimes(table, options), []
+        for evid, ev in pdf.groupby("evid", sort=True):
+            ev = ev.drop_duplicates(["sta", "tp"]).sort_values(["tp", "sta"])
+            names, ot = ev["sta"].to_list(), float(ev["ot"].median()) / 1e6
+            travel = ev["tp"].to_numpy("f8") / 1e6 - ot
+            res = np.abs(np.stack([times.of(s) for s in names]) - travel[:, None, None, None].astype("f4"))
+            near = res < options.max_res
+            count = near.sum(axis=0)
+            mean = np.where(near, res, 0).sum(axis=0) / np.maximum(count, 1)
+            for z, dep in enumerate(times.dep):
+                most = int(count[z].max())
+                if most < options.min_sta:
+                    continue
+                x, y = np.unravel_index(int(np.argmin(np.where(count[z] == most, mean[z], np.inf))), mean[z].shape)
+                used = near[:, z, x, y]
+                at = np.array([times.station[s] for s, u in zip(names, used, strict=True) if u])
+                gap = azimuthal_gap(np.degrees(np.arctan2((at[:, 1] - times.lon[x]) * np.cos(np.radians(times.lat[y])), at[:, 0] - times.lat[y])))
+                rows.append((evid, float(dep), float(times.lat[y]), float(times.lon[x]), most, float(np.sqrt((res[used, z, x, y].astype("f8") ** 2).mean())), gap))
+        return pd.DataFrame(rows, columns=["evid", "dep", "lat", "lon", "n_pha", "rms", "gap"]).astype({"evid": "i8", "n_pha": "i4"})
+
+    return own.groupBy(F.pmod(F.xxhash64("evid"), F.lit(parts)).alias("part")).applyInPandas(kernel, LOCATION)
+
+
+def o78_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of the trial depths of every detection (O-78, O-79): more phases, then less residual, then the shallower."""
+    rows = detection_arrivals(spark, sf_dir).select(F.col("det_id").alias("evid"), "sta", "ot", "tp")
+    got = trial_locations(rows, tables.stations(spark, sf_dir), AssociationOptions(xy_grid=0.1))
+    best = best_row(got, ["evid"], [-F.col("n_pha"), F.col("rms"), F.col("dep")], ["dep", "lat", "lon", "n_pha", "rms", "gap"])
+    return best.select("evid", "dep", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), "n_pha", F.round("rms", 3).alias("rms"), F.round("gap", 1).alias("gap"))
+
+
+QUERIES = {"o78_locations": o78_locations, "o54_associate": o54_associate}

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorline.operators.waveforms import MatchOptions, match_templates, pick_waveforms, rank_stations
+from tremorline.operators.waveforms import MatchOptions, match_templates, pick_stretches, rank_stations
 from tremorline.plans import tables
 from tremorline.plans.associate import detection_arrivals
 
@@ -50,9 +50,8 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def o50_waveform_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Picks of all made stretches, with how far P lies from where it was put (seconds)."""
-    waves = snippets(spark, sf_dir)
-    channels = waves.select("det_id", "sta", "tp_us", "start_us", "samp_rate", F.posexplode("data").alias("chn", "data"))
-    got = pick_waveforms(channels.withColumnRenamed("tp_us", "true_us"), ["det_id", "sta", "true_us"])
+    waves = snippets(spark, sf_dir).withColumnRenamed("tp_us", "true_us")
+    got = pick_stretches(waves, ["det_id", "sta", "true_us"])
     return got.select("det_id", "sta", F.round((F.col("tp_us") - F.col("true_us")) / 1e6, 2).alias("off_s"), F.round("p_snr", 1).alias("p_snr"), "good")
 
 
