@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorline.functions.geo import code, micros
-from tremorline.session import cut, small_side
+from tremorline.session import cut, small_side, spread
 
 HOUR = 3_600_000_000
 
@@ -156,7 +156,7 @@ def flag_readings(df: DataFrame, id_col: str, source_col: str, time_col: str, va
             "source": np.full(len(at), key[0], object), "t": when, "y": line[at], "far": np.concatenate([np.broadcast_to(o[3], len(o[0])) for o in out]) if out else np.array([], bool),
         })
 
-    found = cut(parts.groupBy("source", "block").applyInPandas(kernel, "row_id bigint, reason string, score double, source string, t bigint, y double, far boolean"), "readings")
+    found = cut(spread(parts, "source", "block").groupBy("source", "block").applyInPandas(kernel, "row_id bigint, reason string, score double, source string, t bigint, y double, far boolean"), "readings")
     line = Window.partitionBy("source").orderBy("t", "row_id")
     edges = found.where("reason = 'edge'").withColumn("y", F.when(~F.isnan("y"), F.col("y")))
     same = (F.col("y") == F.lag("y").over(line)) & ~F.lag("far").over(line)

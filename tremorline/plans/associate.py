@@ -13,6 +13,7 @@ from tremorline.functions.geo import KM_PER_DEGREE, hypo_km, origin_time
 from tremorline.operators.ordered import time_islands
 from tremorline.operators.ranking import best_row
 from tremorline.plans import tables
+from tremorline.session import spread
 
 HOUR = 3_600_000_000
 EVENT = "ot bigint, lat double, lon double, dep double, mag double, res double, n_picks int, pick_ids array<bigint>"
@@ -138,7 +139,7 @@ def associate(picks: DataFrame, stations: DataFrame, options: AssociationOptions
         found = [e for _, own in pdf.groupby("island", sort=True) for e in associate_island(own, times, options)]
         return pd.DataFrame(found, columns=["ot", "lat", "lon", "dep", "mag", "res", "n_picks", "pick_ids"]).astype({"ot": "i8", "n_picks": "i4"})
 
-    return rows.groupBy("day", "part").applyInPandas(kernel, EVENT)
+    return spread(rows, "day", "part").groupBy("day", "part").applyInPandas(kernel, EVENT)
 
 
 def detection_arrivals(spark: SparkSession, sf_dir: str, vp: float = 6.0, vs: float = 3.45) -> DataFrame:
@@ -168,7 +169,7 @@ def azimuthal_gap(azimuths: np.ndarray) -> float:
     return float(np.max(np.diff(np.append(a, a[0] + 360)))) if len(a) else 360.0
 
 
-def trial_locations(picks: DataFrame, stations: DataFrame, options: AssociationOptions = AssociationOptions(), batch: int = 500) -> DataFrame:  # noqa: B008
+def trial_locations(picks: DataFrame, stations: DataFrame, options: AssociationOptions = AssociationOptions(), batch: int = 100) -> DataFrame:  # noqa: B008
     """Every event located at every trial depth (O-78): ``evid, dep, lat, lon, n_pha, rms, gap``.
 
     ``picks (evid, sta, ot, tp)`` in microseconds. A depth at which fewer than ``min_sta`` picks are explained gives no row. About
@@ -203,7 +204,8 @@ def trial_locations(picks: DataFrame, stations: DataFrame, options: AssociationO
                 rows.append((evid, float(dep), float(times.lat[y]), float(times.lon[x]), most, float(np.sqrt((res[used, z, x, y].astype("f8") ** 2).mean())), gap))
         return pd.DataFrame(rows, columns=["evid", "dep", "lat", "lon", "n_pha", "rms", "gap"]).astype({"evid": "i8", "n_pha": "i4"})
 
-    return own.groupBy(F.pmod(F.xxhash64("evid"), F.lit(parts)).alias("part")).applyInPandas(kernel, LOCATION)
+    own = own.withColumn("part", F.pmod(F.xxhash64("evid"), F.lit(parts)))
+    return spread(own, "part").groupBy("part").applyInPandas(kernel, LOCATION)
 
 
 def o78_locations(spark: SparkSession, sf_dir: str) -> DataFrame:

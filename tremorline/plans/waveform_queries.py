@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tremorline.operators.waveforms import MatchOptions, match_templates, pick_stretches, rank_stations
 from tremorline.plans import tables
 from tremorline.plans.associate import detection_arrivals
+from tremorline.session import spread
 
 FS = 50.0
 BEFORE_S, LENGTH_S = 15.0, 50.0
@@ -45,7 +46,7 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
                 data = [wavelets(d, s, BEFORE_S * FS, (b - a) / 1e6 * FS, n).tolist() for d, s, a, b in zip(own["det_id"], own["sta"], start, own["ts"], strict=True)]
                 yield pd.DataFrame({"det_id": own["det_id"], "sta": own["sta"], "start_us": start, "samp_rate": FS, "tp_us": own["tp"], "ts_us": own["ts"], "data": pd.Series(data, index=own.index, dtype=object)})
 
-    return rows.mapInPandas(kernel, WAVES)
+    return spread(rows, "det_id", "sta").mapInPandas(kernel, WAVES)
 
 
 def o50_waveform_picks(spark: SparkSession, sf_dir: str) -> DataFrame:

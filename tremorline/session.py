@@ -75,6 +75,14 @@ def small_side(df: DataFrame, label: str, max_rows: int = SMALL_ROWS) -> DataFra
     return F.broadcast(table) if table.count() <= max_rows else table
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` partitioned by ``keys`` over ``spark.sql.shuffle.partitions`` tasks, for kernels that need much time per byte.
+
+    Left to itself, adaptive execution would join partitions that are small in bytes and put such a kernel into few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def join_hot(big: DataFrame, small: DataFrame, key: str, how: str = "inner", hot_share: float = 1e-4, least: int = 100_000, counts: DataFrame | None = None) -> DataFrame:
     """Join ``big`` with ``small`` (one row per key) without letting a hot key fill one task.
 
