@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremorline.session import cut, join_hot
+from tremorline.session import cut, join_hot, spread
 
 
 def scramble(c: Column) -> Column:
@@ -72,7 +72,7 @@ def group_ids(pairs: DataFrame, a: str, b: str, missing: int | None = None, cell
         blocks = max(1 if rounds else least_blocks, math.ceil(math.sqrt(2 * n / cell_edges)))
         block = lambda c: F.pmod(F.xxhash64(c, F.lit(len(rounds))), F.lit(blocks)).cast("int")  # noqa: B023, E731
         cells = edges.withColumn("i", F.least(block("a"), block("b"))).withColumn("j", F.greatest(block("a"), block("b")))
-        roots = cells.groupBy("i", "j").applyInPandas(_cell_roots, "v bigint, r bigint")
+        roots = spread(cells.select("i", "j", "a", "b"), "i", "j").groupBy("i", "j").applyInPandas(_cell_roots, "v bigint, r bigint")
         # at most one representative per cell of the vertex's row and column
         state = cut(roots.groupBy("v").agg(F.min("r").alias("p"), F.collect_set("r").alias("rs")), f"parents{len(rounds)}")
         rounds.append(state.where(~F.array_contains("rs", F.col("v"))).select("v", "p"))

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremorline.session import spread
+
 
 def best_filling(counts: dict[int, int], lengths: list[int], room: int) -> dict[int, int]:
     """The multiset of ``lengths`` (ascending, each at most ``counts`` times) whose sum is closest to ``room`` from below."""
@@ -96,7 +98,7 @@ def pack_items(items: DataFrame, specs: list[tuple[int, int]], shard_items: int
         container = pack(pdf["n_tokens"].to_numpy(), int(pdf["capacity"].iloc[0]))
         return pdf.assign(container_id=container + (int(key[1]) << 32))[["spec_id", "container_id", "doc_id", "piece", "token_start", "n_tokens"]]
 
-    return pieces.groupBy("spec_id", "shard").applyInPandas(kernel, "spec_id int, container_id bigint, doc_id bigint, piece int, token_start bigint, n_tokens bigint")
+    return spread(pieces, "spec_id", "shard").groupBy("spec_id", "shard").applyInPandas(kernel, "spec_id int, container_id bigint, doc_id bigint, piece int, token_start bigint, n_tokens bigint")
 
 
 def fill_report(packed: DataFrame, specs: list[tuple[int, int]]) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorline.session import cut, join_hot
+from tremorline.session import cut, join_hot, spread
 
 # Characters seen by a 32-bit gear hash, and the positions of a window of hashes. A
 # stretch of MIN_CHARS holds MIN_CHARS - GEAR + 1 hashes, which are two windows without overlap.
@@ -230,7 +230,7 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, hot_rows: int = 20
     parts = shared.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "place", "hot")).alias("parts"))
     rows = cut(texts.join(parts, "doc_id").mapInPandas(_context_kernel, "digest bigint, doc_id bigint, lo bigint, off bigint, ctx string, hot boolean"), "contexts")
 
-    warm = rows.where("not hot").repartition("digest").sortWithinPartitions("digest")
+    warm = spread(rows.where("not hot"), "digest").sortWithinPartitions("digest")
     spans = warm.mapInPandas(_group_kernel, INTERVALS)
     if rows.where("hot").limit(1).count():
         windows = cut(rows.where("hot").mapInPandas(_window_kernel, "mixed bigint, plain bigint, doc_id bigint, at bigint"), "windows")
