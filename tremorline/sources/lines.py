@@ -82,7 +82,7 @@ def parse_summary(lines: DataFrame, north: bool = True, east: bool = True, groun
     at = lambda start, n: F.trim(F.substring("line", start, n)).try_cast("double")
     word = F.split(F.trim("line"), r"\s+")
     sec = F.lpad(F.get(word, F.lit(2)), 5, "0")
-    size = at(21, 2) + at(24, 5) / 60, at(30, 3) + at(33, 5) / 60
+    size = at(21, 2) + at(24, 5) / 60, at(30, 3) + at(34, 5) / 60
     rows = lines.select(
         F.element_at(word, -1).try_cast("bigint").alias("evid"), parse_compact(F.concat(F.get(word, F.lit(0)), F.get(word, F.lit(1)), sec)).alias("ot"),
         (size[0] if north else -size[0]).alias("lat"), (size[1] if east else -size[1]).alias("lon"), (at(39, 6) + ground_km).alias("dep"),

@@ -32,7 +32,7 @@ def decode_sac(raw: bytes) -> tuple[int, float, np.ndarray] | None:
             day = pd.Timestamp(int(ints[0]), 1, 1).value // 1000 + (int(ints[1]) - 1) * 86_400_000_000
             start = day + ((int(ints[2]) * 60 + int(ints[3])) * 60 + int(ints[4])) * 1_000_000 + int(ints[5]) * 1000
             begin = float(floats[5]) if floats[5] != -12345.0 else 0.0
-            return start + round(begin * 1e6), float(np.round(1 / float(floats[0]), 6)), np.frombuffer(raw, f"{order}f4", int(ints[9]), 632)
+            return start + round(begin * 1e6), float(np.round(1 / float(floats[0]), 4)), np.frombuffer(raw, f"{order}f4", int(ints[9]), 632)
     return None
 
 

@@ -11,12 +11,12 @@ from tremorline.functions.geo import code
 def pick_islands(stream: DataFrame, time: str = "sta_ot", gap: str = "2 seconds", late: str = "10 minutes", least: int = 4) -> DataFrame:
     """``start, last, picks, stations`` of islands with at least ``least`` picks; works on streams and tables alike.
 
-    An island closes when ``late`` has passed beyond it; later picks are dropped, so ``late`` must exceed the delays of
+    Days are kept apart, as in the association. An island closes when ``late`` has passed beyond it; later picks are dropped, so ``late`` must exceed the delays of
     the feed. Picks without station or time are left out; a pick delivered twice within ``late`` counts once.
     """
     rows = stream.withColumn("sta", code("net_sta")).where(F.col("sta").isNotNull() & F.col(time).isNotNull())
     rows = rows.withWatermark(time, late).dropDuplicatesWithinWatermark(["pick_id"]) if stream.isStreaming else rows.dropDuplicates(["pick_id"])
-    islands = rows.groupBy(F.session_window(time, gap).alias("w")).agg(F.min(time).alias("start"), F.max(time).alias("last"), F.count("*").alias("picks"), F.approx_count_distinct("sta").alias("stations"))
+    islands = rows.groupBy(F.to_date(time).alias("day"), F.session_window(time, gap).alias("w")).agg(F.min(time).alias("start"), F.max(time).alias("last"), F.count("*").alias("picks"), F.approx_count_distinct("sta").alias("stations"))
     return islands.where(F.col("picks") >= least).select("start", "last", "picks", "stations")
 
 
