@@ -17,6 +17,7 @@ from tremorline.functions.geo import code, east, station_magnitude
 from tremorline.operators import ordered, ranking
 from tremorline.operators.greedy import cluster_detections, gap_selection, refractory
 from tremorline.operators.grid import Grid, padded_cells
+from tremorline.operators.relocate import RelocationOptions, relocate
 from tremorline.operators.waveforms import MatchOptions, cut_template, cut_templates, match, pick_by_template, pick_station, pick_waveforms
 from tremorline.plans import associate, registry
 from tremorline.plans.waveform_queries import FS, wavelets
@@ -367,6 +368,23 @@ def test_trial_depths(spark, network):
     assert all(abs(best[e].lat - lat) < 0.08 and abs(best[e].lon - lon) < 0.08 for e, (_, lat, lon) in enumerate(truth))
 
 
+def test_relocation_restores_distances(spark):
+    rng = np.random.default_rng(4)
+    sites = pd.DataFrame([(f"S{k}", 35 + 0.3 * np.sin(k), -117 + 0.3 * np.cos(k), 0.0) for k in range(10)], columns=["sta", "lat", "lon", "ele_m"])
+    true = np.column_stack([35 + rng.normal(0, 0.01, 15), -117 + rng.normal(0, 0.01, 15), 8 + rng.normal(0, 1, 15)])
+    start = true + rng.normal(0, 1, (15, 3)) * [0.008, 0.008, 0.8]
+    km = lambda e, s: math.sqrt((111 * (e[0] - s.lat)) ** 2 + (111 * (e[1] - s.lon) * math.cos(math.radians(35))) ** 2 + e[2] ** 2)
+    links = [(a, b, s.sta, km(true[a], s) / v - km(true[b], s) / v, 1.0, ph) for a in range(15) for b in range(a) for s in sites.itertuples() for ph, v in (("P", 6.0), ("S", 3.45))]
+    events = spark.createDataFrame([(k, *map(float, e)) for k, e in enumerate(start)] + [(99, 35.0, -117.0, 5.0), (98, None, None, None)], "event_id bigint, lat double, lon double, dep double")
+    lf = spark.createDataFrame([*links, (0, 99, "S1", None, 1.0, "P"), (0, 0, "S1", 0.0, 1.0, "P"), (0, 1, "none", 0.0, 1.0, "P")], "evid1 bigint, evid2 bigint, sta string, dt double, weight double, phase string")
+    got = relocate(events, lf, spark.createDataFrame(sites), Grid(-118.0, 34.0, 2.0, 2.0, 1, 1, 0.1), RelocationOptions(damping=0.01)).orderBy("event_id").collect()
+    assert [r.event_id for r in got] == list(range(15)) and max(r.rms for r in got) < 0.02
+    spread_of = lambda x: (x - x.mean(axis=0)) * [111, 111 * math.cos(math.radians(35)), 1]
+    after = np.array([(r.lat, r.lon, r.dep) for r in got])
+    before_km, after_km = (np.sqrt(((spread_of(x) - spread_of(true)) ** 2).sum(axis=1)).mean() for x in (start, after))
+    assert after_km < 0.25 * before_km
+
+
 # ---------------------------------------------------------------- functions, streams, contract
 
 

@@ -12,6 +12,7 @@ from tremorline.operators.asof import epoch_lookup
 from tremorline.operators.greedy import cluster_detections, gap_selection
 from tremorline.operators.grid import Grid, padded_cells
 from tremorline.operators.rejects import station_table
+from tremorline.operators.relocate import relocate
 from tremorline.operators.spatial import near_pairs
 from tremorline.plans import tables
 from tremorline.session import load
@@ -197,6 +198,14 @@ def o77_padded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return padded_cells(tables.catalog(spark, sf_dir), "lat", "lon", AREA).select("event_id", "i", "j", "is_home")
 
 
+def o81_relocated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events relocated by the differential times, one cell of a quarter of a degree at a time (O-77, O-81)."""
+    sites = tables.stations(spark, sf_dir).withColumn("sta", F.substring_index("sta", ".", -1)).dropDuplicates(["sta"])  # links name no network
+    grid = Grid(lon_min=-42.25, lat_min=47.75, dx=0.25, dy=0.25, nx=18, ny=18, pad=0.05)
+    got = relocate(tables.catalog(spark, sf_dir).select("event_id", "lat", "lon", "dep"), _links(spark, sf_dir), sites, grid)
+    return got.select("event_id", "i", "j", *[F.round(c, 4).alias(c) for c in ("lat", "lon", "dep", "rms")], "links")
+
+
 def o79_best_solution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best solution of each network and day: least residual, then greatest magnitude, then id."""
     rows = tables.catalog(spark, sf_dir).where("ot is not null and net is not null and res is not null and abs(mag) < 1000").withColumn("day", F.to_date(F.timestamp_micros("ot")).cast("string"))
