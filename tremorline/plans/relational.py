@@ -199,10 +199,9 @@ def o77_padded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o81_relocated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events relocated by the differential times, one cell of a quarter of a degree at a time (O-77, O-81)."""
+    """Events relocated by the differential times, one cell of a degree at a time (O-77, O-81)."""
     sites = tables.stations(spark, sf_dir).withColumn("sta", F.substring_index("sta", ".", -1)).dropDuplicates(["sta"])  # links name no network
-    grid = Grid(lon_min=-42.25, lat_min=47.75, dx=0.25, dy=0.25, nx=18, ny=18, pad=0.05)
-    got = relocate(tables.catalog(spark, sf_dir).select("event_id", "lat", "lon", "dep"), _links(spark, sf_dir), sites, grid)
+    got = relocate(tables.catalog(spark, sf_dir).select("event_id", "lat", "lon", "dep"), _links(spark, sf_dir), sites, AREA)
     return got.select("event_id", "i", "j", *[F.round(c, 4).alias(c) for c in ("lat", "lon", "dep", "rms")], "links")
 
 
