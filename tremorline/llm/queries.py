@@ -141,4 +141,11 @@ SELECT d.doc_id, length(d.text) AS chars, coalesce(sum(span_end - span_start), 0
   CASE WHEN length(d.text) > 0 THEN coalesce(sum(span_end - span_start), 0) / length(d.text) ELSE 0.0 END AS share
 FROM documents d LEFT JOIN spans USING (doc_id) WHERE d.text IS NOT NULL GROUP BY d.doc_id, d.text"""
 
-ORACLES = {"p2_found": P2_FOUND, "p6_found": P6_FOUND, "p9_found": P9_FOUND, "p9_shared": P9_SHARED}
+# Sizes in bytes: no case depends on the tokenizer, and one token per byte is a tokenizer too.
+P8_FOUND = """
+WITH d AS (SELECT nullif(upper(trim(source)), '') AS label, strlen(text) AS size FROM documents WHERE text IS NOT NULL),
+s AS (SELECT label, sum(size) AS size FROM d GROUP BY label)
+SELECT mix_id, source FROM mix_targets t LEFT JOIN s ON s.label = upper(trim(t.source))
+WHERE max_uses * coalesce(s.size, 0) < target_share * total_ratio * (SELECT sum(size) FROM d)"""
+
+ORACLES = {"p8_found": P8_FOUND, "p2_found": P2_FOUND, "p6_found": P6_FOUND, "p9_found": P9_FOUND, "p9_shared": P9_SHARED}
