@@ -69,7 +69,7 @@ def random_readings(seed, n=600):
     rng = random.Random(seed)
     rows, t = [], 0
     for i in range(n):
-        t += rng.choice([0, 5, 900, 4000])
+        t += rng.choice([0, 0, 5, 900, 4000])
         y = 10 ** rng.gauss(-5, 0.2)
         if rng.random() < 0.02:
             y *= 10 ** rng.choice([-3, 3])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tremorline.functions.geo import code, micros
 from tremorline.session import cut, small_side, spread
 
-HOUR = 3_600_000_000
+HOUR, SECOND = 3_600_000_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -84,17 +84,25 @@ def stuck_members(y: np.ndarray, run: int) -> np.ndarray:
 
 
 def _blocks(base: DataFrame, rule: ReadingRule) -> DataFrame:
-    """Per source: usual level, spread, and the first hours of its blocks."""
+    """Per source: usual level, spread, rows, and the times at which its blocks start.
+
+    Blocks are made of whole hours, of whole seconds where an hour alone holds more than a block.
+    """
     z = F.when(F.col("ok"), F.log10("y") if rule.log10 else F.col("y"))
-    hourly = base.groupBy("source", F.col("hour")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1))
+    timed = base.where("t is not null").withColumn("hour", F.floor(F.col("t") / HOUR))
+    hourly = timed.groupBy("source", "hour").agg(F.count("*").alias("n"))
+    counts = cut(hourly.select("source", "hour", (F.col("hour") * HOUR).alias("start"), "n"), "hours")
+    crowded = counts.where(F.col("n") > rule.block_rows).select("source", "hour")
+    if crowded.limit(1).count():
+        fine = timed.join(small_side(crowded, "crowded"), ["source", "hour"]).groupBy("source", (F.floor(F.col("t") / SECOND) * SECOND).alias("start")).agg(F.count("*").alias("n"))
+        counts = counts.where(F.col("n") <= rule.block_rows).select("source", "start", "n").unionByName(fine)
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     starts = (
-        hourly.where("hour is not null")
-        .withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / rule.block_rows))
+        counts.withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / rule.block_rows))
         .groupBy("source", "part")
-        .agg(F.min("hour").alias("hour"))
+        .agg(F.min("start").alias("start"))
         .groupBy("source")
-        .agg(F.sort_array(F.collect_list("hour")).alias("starts"))
+        .agg(F.sort_array(F.collect_list("start")).alias("starts"))
     )
     level = base.groupBy("source").agg(F.percentile_approx(z, [0.25, 0.5, 0.75], 10000).alias("q"), F.count("*").alias("n_rows"))
     return level.join(starts, "source", "left")
@@ -116,13 +124,13 @@ def flag_readings(df: DataFrame, id_col: str, source_col: str, time_col: str, va
     ok = finite & (y > 0) if rule.log10 else finite & (y >= rule.low) & (y <= rule.high)
     if rule.missing is not None:
         base = base.where(F.col("y") != rule.missing)
-    base = base.withColumn("ok", ok).withColumn("hour", F.floor(F.col("t") / HOUR))
+    base = base.withColumn("ok", ok)
     wrong = base.where(~F.col("ok")).select(F.col("id").alias("row_id"), F.lit("impossible").alias("reason"), F.lit(None).cast("double").alias("score"))
 
     sourced = base.where("source is not null")
     levels = small_side(_blocks(sourced, rule), "levels")
     untimed = -1 - F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("n_rows") / rule.block_rows)).cast("bigint"))
-    block = F.when(F.col("t").isNull(), untimed).otherwise(F.size(F.filter("starts", lambda s: s <= F.col("hour"))).cast("bigint"))
+    block = F.when(F.col("t").isNull(), untimed).otherwise(F.size(F.filter("starts", lambda s: s <= F.col("t"))).cast("bigint"))
     parts = sourced.join(levels, "source").where("q is not null or not ok").select("id", "source", block.alias("block"), "t", "y", "ok", "q")
     parts = parts.select("id", "source", "block", "t", "y", "ok", F.element_at("q", 1).alias("q1"), F.element_at("q", 2).alias("q2"), F.element_at("q", 3).alias("q3"))
 
