@@ -84,14 +84,13 @@ def split_rows(lines: DataFrame, line_col: str, schemas: Sequence[RowSchema] = S
     non-blank character ``#``) are dropped. A null line is treated as an empty one: ``columns``.
     Other columns are kept as they are; columns of the added names are replaced.
     """
-    kept = [c for c in lines.columns if c not in ("parts", "reason", "broken")]
-    lines = lines.select(F.struct(*kept).alias("_row"), F.coalesce(F.col(line_col), F.lit("")).alias("_line"))
-    line = F.col("_line")
+    lines = lines.withColumn("__line", F.coalesce(F.col(line_col), F.lit("")))
+    line = F.col("__line")
     rows = lines.where(~line.rlike(r"\A\s*#"))
     # Without its well quoted fields, a line that still has a quote is broken, and its commas count.
     bare = F.regexp_replace(line, QUOTED, "$1")
-    rows = rows.withColumn("_bare", bare).withColumn("_n", F.size(F.split("_bare", ",", -1)))
-    whole = [F.col("_n") == len(s.fields) for s in schemas]
+    rows = rows.withColumn("__bare", bare).withColumn("__n", F.size(F.split("__bare", ",", -1)))
+    whole = [F.col("__n") == len(s.fields) for s in schemas]
     fits = [n & line.rlike(s.prefix(len(s.fields))) for n, s in zip(whole, schemas, strict=True)]
     # Only quoted fields need care when the line is cut: a comma inside them is text.
     has_quote = F.contains(line, F.lit('"'))
@@ -99,14 +98,14 @@ def split_rows(lines: DataFrame, line_col: str, schemas: Sequence[RowSchema] = S
     cut = F.when(~has_quote, F.split(line, ",", -1)).otherwise(F.regexp_extract_all(line, F.lit(field), F.lit(1)))
     clean = F.transform(cut, lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", ""))
     unquoted = F.transform(clean, lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.length(x) >= 2), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
-    rows = rows.withColumn("parts", unquoted).withColumn("_fits", F.coalesce(*[F.when(f, F.lit(i)) for i, f in enumerate(fits)]))
-    ranged = F.coalesce(*[F.when(F.col("_n") == len(s.fields), _in_range(s)) for s in schemas])
-    bad_quote = F.contains("_bare", F.lit('"'))
+    rows = rows.withColumn("parts", unquoted).withColumn("__fits", F.coalesce(*[F.when(f, F.lit(i)) for i, f in enumerate(fits)]))
+    ranged = F.coalesce(*[F.when(F.col("__n") == len(s.fields), _in_range(s)) for s in schemas])
+    bad_quote = F.contains("__bare", F.lit('"'))
     counted = reduce(lambda a, b: a | b, whole)
-    valid = ~bad_quote & F.col("_fits").isNotNull() & F.coalesce(ranged, F.lit(False))
+    valid = ~bad_quote & F.col("__fits").isNotNull() & F.coalesce(ranged, F.lit(False))
     reason = F.when(valid, F.lit(None)).when(bad_quote, "quoting").when(~counted, "columns").otherwise("value")
     rows = rows.withColumn("reason", reason)
-    return rows.withColumn("broken", _first_broken(line, schemas)).select(*[F.col("_row")[c].alias(c) for c in kept], "parts", "reason", "broken")
+    return rows.withColumn("broken", _first_broken(line, schemas)).drop("__line", "__bare", "__n", "__fits")
 
 
 def _part(i: int) -> Column:
@@ -135,11 +134,11 @@ def _first_broken(line: Column, schemas: Sequence[RowSchema]) -> Column:
                 if at[b] == i:
                     bad = bad | ~F.coalesce(s.fields[at[a]].parsed(_part(at[a])) < s.fields[i].parsed(_part(i)), F.lit(False))
             steps = F.when(bad, F.lit(i + 1)).otherwise(steps)
-        by_value.append(F.when(F.col("_n") == len(s.fields), steps))
+        by_value.append(F.when(F.col("__n") == len(s.fields), steps))
     # quoting: the fields before the first one that keeps a quote are well formed
-    before = F.substring_index("_bare", '"', 1)
+    before = F.substring_index("__bare", '"', 1)
     by_quote = F.size(F.split(before, ",", -1))
-    by_count = F.least(F.col("_n"), F.lit(most)) + 1
+    by_count = F.least(F.col("__n"), F.lit(most)) + 1
     return F.when(F.col("reason") == "quoting", by_quote).when(F.col("reason") == "columns", by_count).when(F.col("reason") == "value", F.coalesce(*by_value))
 
 
