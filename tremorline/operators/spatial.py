@@ -220,7 +220,7 @@ def near_pairs(points: DataFrame, id_col: str, lat_col: str, lon_col: str, km: f
     latitude and the half box above it.
     """
     pts = _places(points, id_col, lat_col, lon_col)
-    cell_km = 4 * km
+    cell_km = 2 * km  # small cells: few candidates where points are crowded
     band, cell = _cell_columns(F.col("lat"), F.col("lon"), cell_km)
     targets = pts.withColumn("band", band).withColumn("cell", cell).alias("b")
     queries = _search_cells(pts, "lat", "lon", km, cell_km, upward=True).alias("a")
