@@ -56,10 +56,18 @@ class Domains:
         return p / p.sum()
 
 
+def _bounded(df: DataFrame, what: str, most: int = 10_000) -> list:
+    """All rows of a table that must fit the driver; more than ``most`` are refused."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return rows
+
+
 def train_domains(docs: DataFrame, options: MixOptions) -> Domains:
     """Train on at most about ``sample_docs`` labelled documents, chosen by a hash of their id."""
     labelled = docs.where("label is not null and text is not null")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}
+    sizes = {r[0]: r[1] for r in _bounded(labelled.groupBy("label").count(), "sources")}
     labels, total = sorted(sizes) or [""], sum(sizes.values())  # a label that no document has, if there are none
     at = {label: k for k, label in enumerate(labels)}
     share = min(1.0, options.sample_docs / max(1, total))
@@ -203,7 +211,8 @@ def mix_documents(docs: DataFrame, targets: DataFrame, options: MixOptions = Mix
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", code("source").alias("label"))
     domains = train_domains(rows, options)
     scored = cut(score_documents(rows, domains, options), "scored")
-    wanted = targets.select("mix_id", "source", code("source").alias("label"), "target_share", "max_uses", "total_ratio").collect()
+    wanted = targets.select("mix_id", "source", code("source").alias("label"), "target_share", "max_uses", "total_ratio")
+    wanted = _bounded(wanted, "rows of targets")
     mixes = sorted({r.mix_id for r in wanted})
     at = {x: i for i, x in enumerate(domains.labels)}
     shape = (len(mixes), len(at))
