@@ -17,7 +17,7 @@ from tremorline.functions.geo import code, east, station_magnitude
 from tremorline.operators import ordered, ranking
 from tremorline.operators.greedy import cluster_detections, gap_selection, refractory
 from tremorline.operators.grid import Grid, padded_cells
-from tremorline.operators.relocate import RelocationOptions, relocate
+from tremorline.operators.relocate import RelocationOptions, relocate, relocate_all
 from tremorline.operators.waveforms import MatchOptions, cut_template, cut_templates, match, pick_by_template, pick_station, pick_waveforms
 from tremorline.plans import associate, registry
 from tremorline.plans.waveform_queries import FS, wavelets
@@ -385,6 +385,28 @@ def test_relocation_restores_distances(spark):
     assert after_km < 0.25 * before_km
 
 
+def test_relocation_keeps_links_across_cells(spark):
+    rng = np.random.default_rng(6)
+    sites = pd.DataFrame([(f"S{k}", 35 + 0.8 * np.sin(k), -117 + 0.8 * np.cos(k), 0.0) for k in range(10)], columns=["sta", "lat", "lon", "ele_m"])
+    true = np.column_stack([35 + rng.normal(0, 0.3, 12), -117 + rng.normal(0, 0.3, 12), 8 + rng.normal(0, 1, 12)])
+    start = true + rng.normal(0, 1, (12, 3)) * [0.008, 0.008, 0.8]
+    km = lambda e, s: math.sqrt((111 * (e[0] - s.lat)) ** 2 + (111 * (e[1] - s.lon) * math.cos(math.radians(s.lat))) ** 2 + e[2] ** 2)
+    links = [(a, b, s.sta, km(true[a], s) / v - km(true[b], s) / v, 1.0, ph) for a in range(12) for b in range(a) for s in sites.itertuples() for ph, v in (("P", 6.0), ("S", 3.45))]
+    links += [links[0], (0, 99, "S1", None, 1.0, "P"), (0, 0, "S1", 0.0, 1.0, "P"), (0, 1, "none", 0.0, 1.0, "P"), (0, 98, "S1", 0.0, 1.0, "P")]
+    events = spark.createDataFrame([(k, *map(float, e)) for k, e in enumerate(start)] + [(99, 35.0, -117.0, 5.0), (98, None, None, None)], "event_id bigint, lat double, lon double, dep double")
+    lf = spark.createDataFrame(links, "evid1 bigint, evid2 bigint, sta string, dt double, weight double, phase string")
+    sf = spark.createDataFrame(sites)
+    o = RelocationOptions(damping=0.01)
+    got = relocate_all(events, lf, sf, o).orderBy("event_id").collect()
+    assert [(r.event_id, r.links) for r in got] == [(k, 11 * 20) for k in range(12)] and max(r.rms for r in got) < 0.02
+    after = np.array([(r.lat, r.lon, r.dep) for r in got])
+    error = lambda x: np.sqrt((((x - true) - (x - true).mean(axis=0)) ** 2 * [111**2, 91**2, 1]).sum(axis=1)).mean()
+    assert error(after) < 0.25 * error(start)
+    celled = relocate(events, lf, sf, Grid(-118.0, 34.0, 0.5, 0.5, 4, 4, 0.1), o)
+    assert celled.agg(F.sum("links")).first()[0] < 12 * 11 * 20  # cells lose links
+    assert relocate_all(events, lf.limit(0), sf, o).count() == 0
+
+
 # ---------------------------------------------------------------- functions, streams, contract
 
 

@@ -12,7 +12,7 @@ from tremorline.operators.asof import epoch_lookup
 from tremorline.operators.greedy import cluster_detections, gap_selection
 from tremorline.operators.grid import Grid, padded_cells
 from tremorline.operators.rejects import station_table
-from tremorline.operators.relocate import relocate
+from tremorline.operators.relocate import relocate_all
 from tremorline.operators.spatial import near_pairs
 from tremorline.plans import tables
 from tremorline.session import load
@@ -199,10 +199,10 @@ def o77_padded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o81_relocated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events relocated by the differential times, one cell of a degree at a time (O-77, O-81)."""
+    """Every placed event with links, relocated by all differential times at once (O-81)."""
     sites = tables.stations(spark, sf_dir).withColumn("sta", F.substring_index("sta", ".", -1)).dropDuplicates(["sta"])  # links name no network
-    got = relocate(tables.catalog(spark, sf_dir).select("event_id", "lat", "lon", "dep"), _links(spark, sf_dir), sites, AREA)
-    return got.select("event_id", "i", "j", *[F.round(c, 4).alias(c) for c in ("lat", "lon", "dep", "rms")], "links")
+    got = relocate_all(tables.catalog(spark, sf_dir).select("event_id", "lat", "lon", "dep"), _links(spark, sf_dir), sites)
+    return got.select("event_id", *[F.round(c, 4).alias(c) for c in ("lat", "lon", "dep", "rms")], "links")
 
 
 def o79_best_solution(spark: SparkSession, sf_dir: str) -> DataFrame:
