@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 import random
 from collections import Counter
@@ -19,7 +20,7 @@ from tremorline.operators.greedy import cluster_detections, gap_selection, refra
 from tremorline.operators.grid import Grid, padded_cells
 from tremorline.operators.relocate import RelocationOptions, relocate, relocate_all
 from tremorline.operators.waveforms import MatchOptions, cut_template, cut_templates, match, pick_by_template, pick_station, pick_waveforms
-from tremorline.plans import associate, registry
+from tremorline.plans import associate, registry, waveform_queries
 from tremorline.plans.waveform_queries import FS, wavelets
 from tremorline.session import cut, join_hot
 from tremorline.sources import lines, waveforms
@@ -331,6 +332,25 @@ def test_matched_filter_finds_copies(spark):
         assert [(r.evid, r.tp, r.ts, len(r.data), len(r.data[0])) for r in cuts] == [(1, 500, 650, 3, 1500)]
 
 
+def test_stretches_hold_late_s(spark, monkeypatch):
+    rows = [(1, "A.A", 100_000_000, 140_500_000), (1, "A.B", 100_000_000, 105_000_000), (2, "A.A", 300_000_000, 322_000_000)]
+    arrivals = spark.createDataFrame(rows, "det_id bigint, sta string, tp bigint, ts bigint")
+    monkeypatch.setattr(waveform_queries, "detection_arrivals", lambda *_: arrivals)
+    got = {(r.det_id, r.sta): len(r.data[0]) for r in waveform_queries.snippets(spark, "").collect()}
+    assert got == {(1, "A.A"): 68 * FS, (1, "A.B"): 68 * FS, (2, "A.A"): 50 * FS}
+    picked = {(r.det_id, r.sta) for r in waveform_queries.o50_waveform_picks(spark, "").where("abs(off_s) < 0.2").collect()}
+    assert picked == set(got)
+
+
+def test_all_template_days(spark, tmp_path):
+    day = lambda n: dt.datetime(2000, 1, n)
+    rows = [(1, "1", day(1)), (2, "2", day(3)), (3, None, day(4)), (4, "-1", day(5)), (5, "2", None)]
+    dets = spark.createDataFrame([(*r, 0, 0.0, 0.0, 0.0, 0.5, [1]) for r in rows], "det_id bigint, temp_id string, det_ot timestamp, clu_id bigint, lat double, lon double, dep double, cc double, picks array<int>")
+    dets.write.parquet(str(tmp_path / "detections.parquet"))
+    got = sorted(tuple(r) for r in registry.QUERIES["o60_all_template_days"](spark, str(tmp_path)).collect())
+    assert got == [(t, f"2000-01-0{n}") for t in "12" for n in range(1, 6)]
+
+
 # ---------------------------------------------------------------- association
 
 

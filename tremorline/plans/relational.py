@@ -158,6 +158,16 @@ def o60_template_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("temp_id", F.explode(F.sequence("first", F.lit(until).cast("date"))).alias("day")).select("temp_id", F.col("day").cast("string").alias("day"))
 
 
+def o60_all_template_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every template with every day from the first detection of all to the last (keys only)."""
+    dets = tables.detections(spark, sf_dir).where("ot is not null")
+    day = F.to_date(F.timestamp_micros("ot"))
+    first, last = dets.agg(F.min(day), F.max(day)).first()
+    temps = dets.where("temp_id is not null").select("temp_id").distinct()
+    days = F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    return temps.select("temp_id", F.explode(days).alias("day")).select("temp_id", F.col("day").cast("string").alias("day"))
+
+
 def o70_detection_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections of one shock, each cluster seeded by the first remaining one (O-70, O-71)."""
     dets = tables.detections(spark, sf_dir).where("cc >= 0.2 and temp_id is not null")

@@ -86,6 +86,9 @@ FROM (SELECT DISTINCT sta FROM n) n LEFT JOIN r USING (sta) GROUP BY n.sta"""),
     "o59_enough_stations": f"WITH {_DE}, {_DP}, {_ST} SELECT det_id, count(*) AS stations FROM dp JOIN st USING (sta) GROUP BY det_id HAVING count(*) >= 4",
     "o60_template_days": f"""WITH {_DE}, d AS (SELECT temp_id, make_timestamp(ot)::date AS day FROM de WHERE temp_id IS NOT NULL AND ot IS NOT NULL)
 SELECT temp_id, unnest(generate_series(min(day)::timestamp, (SELECT max(day) FROM d)::timestamp, INTERVAL 1 DAY))::date::varchar AS day FROM d GROUP BY temp_id""",
+    "o60_all_template_days": f"""WITH {_DE}, t AS (SELECT DISTINCT temp_id FROM de WHERE temp_id IS NOT NULL AND ot IS NOT NULL),
+d AS (SELECT unnest(generate_series(date_trunc('day', min(make_timestamp(ot))), date_trunc('day', max(make_timestamp(ot))), INTERVAL 1 DAY))::date::varchar AS day FROM de WHERE ot IS NOT NULL)
+SELECT temp_id, day FROM t CROSS JOIN d""",
     "o72_neighbour_cap": f"WITH {_DE} SELECT clu_id, det_id, cc, rank FROM (SELECT *, rank() OVER (PARTITION BY clu_id ORDER BY cc DESC)::int AS rank FROM de WHERE cc IS NOT NULL AND clu_id IS NOT NULL) WHERE rank <= 5",
     "o73_mean_location": f"WITH {_DE} SELECT clu_id, round(avg(lat), 8) AS lat, round(avg(lon), 8) AS lon, round(avg(dep), 8) AS dep, count(*) AS n FROM de WHERE clu_id IS NOT NULL GROUP BY clu_id",
     "o74_weighted_links": "SELECT DISTINCT evid1, evid2, sta, dt, round(sqrt(weight), 6) AS weight, phase FROM dt_cc WHERE evid1 <> -1 AND evid2 <> -1 AND abs(dt) <= 0.5 AND weight >= 0.3",

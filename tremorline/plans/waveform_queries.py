@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremorline.operators.waveforms import MatchOptions, match_templates, pick_stretches, rank_stations
@@ -16,7 +16,7 @@ from tremorline.plans.associate import detection_arrivals
 from tremorline.session import spread
 
 FS = 50.0
-BEFORE_S, LENGTH_S = 15.0, 50.0
+BEFORE_S, LENGTH_S, AFTER_S = 15.0, 50.0, 12.0  # LENGTH_S at least; AFTER_S remain after the last S of a detection
 WAVES = "det_id bigint, sta string, start_us bigint, samp_rate double, tp_us bigint, ts_us bigint, data array<array<float>>"
 
 
@@ -34,16 +34,17 @@ def wavelets(det_id: int, sta: str, tp: float, ts: float, n: int) -> np.ndarray:
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One stretch of three channels around P for every detection and station whose S comes within the stretch."""
-    rows = detection_arrivals(spark, sf_dir).select("det_id", "sta", "tp", "ts").where((F.col("ts") - F.col("tp")) / 1e6 < LENGTH_S - BEFORE_S - 12)
-    n = int(LENGTH_S * FS)
+    """One stretch of three channels around P for every detection and station, as long as the latest S of the detection needs."""
+    rows = detection_arrivals(spark, sf_dir).select("det_id", "sta", "tp", "ts")
+    latest = F.max((F.col("ts") - F.col("tp")) / 1e6).over(Window.partitionBy("det_id"))
+    rows = rows.withColumn("length_s", F.greatest(F.lit(LENGTH_S), F.floor(latest) + 1 + BEFORE_S + AFTER_S))
 
     def kernel(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
             for part in np.array_split(np.arange(len(pdf)), max(1, len(pdf) // 500)):
                 own = pdf.iloc[part]
                 start = own["tp"].to_numpy("i8") - int(BEFORE_S * 1e6)
-                data = [wavelets(d, s, BEFORE_S * FS, (b - a) / 1e6 * FS, n).tolist() for d, s, a, b in zip(own["det_id"], own["sta"], start, own["ts"], strict=True)]
+                data = [wavelets(d, s, BEFORE_S * FS, (b - a) / 1e6 * FS, int(n * FS)).tolist() for d, s, a, b, n in zip(own["det_id"], own["sta"], start, own["ts"], own["length_s"], strict=True)]
                 yield pd.DataFrame({"det_id": own["det_id"], "sta": own["sta"], "start_us": start, "samp_rate": FS, "tp_us": own["tp"], "ts_us": own["ts"], "data": pd.Series(data, index=own.index, dtype=object)})
 
     return spread(rows, "det_id", "sta").mapInPandas(kernel, WAVES)
