@@ -427,6 +427,18 @@ def test_relocation_keeps_links_across_cells(spark):
     assert relocate_all(events, lf.limit(0), sf, o).count() == 0
 
 
+def test_events_without_magnitude(spark, tmp_path):
+    nan, at = float("nan"), dt.datetime(2000, 1, 1)
+    rows = [(1, "A", at, 35.126, -117.004, 2.5, None, 0.25), (2, "B", at, 35.0, -117.0, 3.5, nan, 0.1), (3, "B", at, 35.0, -117.0, 3.5, -1.0, 0.1), (4, "B", at, 35.0, -117.0, 3.5, 2.126, 0.2)]
+    events = spark.createDataFrame(rows, "event_id bigint, net string, evt_ot timestamp, evt_lat double, evt_lon double, evt_dep double, mag double, res double")
+    events.write.parquet(str(tmp_path / "evt_catalog.parquet"))
+    run = lambda name: sorted(tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect())
+    rounded = [r[1:] for r in run("o36_rounded_columns")]
+    assert rounded[0] == (-117.0, 35.13, 2.0, 0.2, None) and rounded[1] == (-117.0, 35.0, 4.0, 0.1, None) and rounded[3] == (-117.0, 35.0, 4.0, 0.2, 2.13)
+    assert [r[1].split(",")[-1] for r in run("o20_all_catalog_lines")] == ["-1.00", "-1.00", "-1.00", "2.13"]
+    assert {r[0]: r[2] for r in run("o79_best_of_all")} == {"A": 1, "B": 3}
+
+
 # ---------------------------------------------------------------- functions, streams, contract
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorline.functions import formats
@@ -63,6 +63,16 @@ def o36_rounded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.bround("dep", 0).alias("dep"))
 
 
+def _finite(c: str) -> Column:
+    return F.when(F.abs(F.col(c)) < float("inf"), F.col(c))
+
+
+def o36_rounded_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with its five rounded columns; a missing or infinite value is null."""
+    digits = {"lon": 2, "lat": 2, "dep": 0, "res": 1, "mag": 2}
+    return tables.catalog(spark, sf_dir).select("event_id", *[F.bround(_finite(c), n).alias(c) for c, n in digits.items()])
+
+
 def o34_event_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.catalog(spark, sf_dir).where("ot is not null").select("event_id", formats.compact_time(F.col("ot")).alias("name"))
 
@@ -221,6 +231,13 @@ def o79_best_solution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.best_row(rows, ["net", "day"], [F.col("res"), -F.col("mag"), F.col("event_id")], ["event_id", "res"])
 
 
+def o79_best_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``o79_best_solution``, with solutions that have no finite magnitude, after the others of the same residual."""
+    rows = tables.catalog(spark, sf_dir).where("ot is not null and net is not null and res is not null").withColumn("day", F.to_date(F.timestamp_micros("ot")).cast("string"))
+    order = [F.col("res"), _finite("mag").isNull(), -F.coalesce(_finite("mag"), F.lit(0.0)), F.col("event_id")]
+    return ranking.best_row(rows, ["net", "day"], order, ["event_id", "res"])
+
+
 def o80_event_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest events within 2 km of each event, by hypocentral distance."""
     events = tables.catalog(spark, sf_dir).where("dep is not null")
@@ -257,6 +274,13 @@ def o20_catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", formats.catalog_line(F.col("ot"), F.col("lat"), F.col("lon"), F.col("dep"), F.col("mag")).alias("line"))
 
 
+def o20_all_catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every event with a time and a place; a magnitude that is missing or not finite is written as -1."""
+    rows = tables.catalog(spark, sf_dir).where("ot is not null and lat is not null and lon is not null and dep is not null")
+    mag = F.coalesce(_finite("mag"), F.lit(-1.0))
+    return rows.select("event_id", formats.catalog_line(F.col("ot"), F.col("lat"), F.col("lon"), F.col("dep"), mag).alias("line"))
+
+
 def o11_phase_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections written as header and phase lines and read back (O-09 to O-12, O-22)."""
     lines = formats.detection_lines(tables.detections(spark, sf_dir).where("ot is not null and lat is not null and lon is not null and dep is not null and cc is not null and temp_id is not null"))

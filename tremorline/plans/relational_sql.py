@@ -59,6 +59,7 @@ SELECT p.pick_id, coalesce(f.first, e.last) AS epoch_id, f.first IS NOT NULL AS
     "o32_station_magnitude": f"WITH {_DE}, {_DP}, {_ST}, {_MG} SELECT det_id, sta, round(km, 6) AS km, round(mag, 6) AS mag FROM m",
     "o56_event_magnitude": f"WITH {_DE}, {_DP}, {_ST}, {_MG} SELECT det_id, round(med, 6) AS mag, n FROM ({_median('m', 'det_id', 'mag', 'ord')})",
     "o36_rounded_events": f"WITH {_EV} SELECT event_id, round_even(dep, 0) AS dep FROM ev WHERE dep IS NOT NULL AND abs(mag) < 1000",
+    "o36_rounded_columns": f"WITH {_EV} SELECT event_id, {', '.join(f'CASE WHEN isfinite({c}) THEN round_even({c}, {n}) END AS {c}' for c, n in (('lon', 2), ('lat', 2), ('dep', 0), ('res', 1), ('mag', 2)))} FROM ev",
     "o34_event_names": f"WITH {_EV} SELECT event_id, {_COMPACT} AS name FROM ev WHERE ot IS NOT NULL",
     "o33_degree_minutes": f"WITH {_EV} SELECT event_id, {_dm('lat', 'N', 'S', 2)} AS lat, {_dm('lon', 'E', 'W', 3)} AS lon FROM ev WHERE lat IS NOT NULL AND lon IS NOT NULL",
     "o37_window": f"WITH {_EV} SELECT event_id, lat, lon FROM ev WHERE ot > epoch_us(TIMESTAMP '2000-02-01') AND ot < epoch_us(TIMESTAMP '2000-03-01') AND lat > 49 AND lat < 51 AND lon > -41 AND lon < -39",
@@ -100,6 +101,9 @@ FROM ev JOIN c ON lon + 42.0 + 0.1 > i AND lon + 42.0 - 0.1 <= i + 1 AND lat - 4
     "o79_best_solution": f"""WITH {_EV} SELECT net, day, event_id, res FROM (
   SELECT *, make_timestamp(ot)::date::varchar AS day, row_number() OVER (PARTITION BY net, make_timestamp(ot)::date ORDER BY res, mag DESC, event_id) AS r
   FROM ev WHERE ot IS NOT NULL AND net IS NOT NULL AND res IS NOT NULL AND abs(mag) < 1000) WHERE r = 1""",
+    "o79_best_of_all": f"""WITH {_EV} SELECT net, day, event_id, res FROM (
+  SELECT *, make_timestamp(ot)::date::varchar AS day, row_number() OVER (PARTITION BY net, make_timestamp(ot)::date ORDER BY res, CASE WHEN isfinite(mag) THEN mag END DESC NULLS LAST, event_id) AS r
+  FROM ev WHERE ot IS NOT NULL AND net IS NOT NULL AND res IS NOT NULL) WHERE r = 1""",
     "o80_event_neighbours": f"""WITH {_EV}, e AS (SELECT * FROM ev WHERE lat IS NOT NULL AND lon IS NOT NULL AND dep IS NOT NULL),
 p AS (SELECT a.event_id AS id, b.event_id AS other, round(sqrt(power(111 * (a.lon - b.lon) * cos(radians(CASE WHEN a.event_id < b.event_id THEN a.lat ELSE b.lat END)), 2) + power(111 * (a.lat - b.lat), 2) + power(a.dep - b.dep, 2)), 6) AS km,
   sqrt(power(111 * (a.lat - b.lat), 2) + power(111 * (a.lon - b.lon) * cos(radians(greatest(a.lat, b.lat))), 2)) AS flat
@@ -109,6 +113,7 @@ SELECT id, other, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER
     "o84_all_places": f"WITH {_EV}, {_DE} SELECT 'event' AS kind, event_id AS id, lat, lon FROM ev WHERE lat IS NOT NULL AND lon IS NOT NULL UNION ALL SELECT 'detection', det_id, lat, lon FROM de WHERE lat IS NOT NULL AND lon IS NOT NULL",
     "o85_segments": f"WITH {_PK} SELECT (tp - epoch_us(TIMESTAMP '2000-01-01')) // 2592000000000 AS segment, count(*) AS picks, count(DISTINCT sta) AS stations FROM pk WHERE tp IS NOT NULL GROUP BY 1",
     "o20_catalog_lines": f"WITH {_EV} SELECT event_id, {_ISO} || ',' || printf('%.4f,%.4f,%.1f,%.2f', lat, lon, dep, mag) AS line FROM ev WHERE ot IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL AND dep IS NOT NULL AND abs(mag) < 1000",
+    "o20_all_catalog_lines": f"WITH {_EV} SELECT event_id, {_ISO} || ',' || printf('%.4f,%.4f,%.1f,%.2f', lat, lon, dep, CASE WHEN isfinite(mag) THEN mag ELSE -1 END) AS line FROM ev WHERE ot IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL AND dep IS NOT NULL",
     "o11_phase_blocks": f"""WITH {_DE} SELECT temp_id || '_' || {_COMPACT} || ',' || {_ISO} || ',' || printf('%.4f,%.4f,%.1f,%.3f', lat, lon, dep, cc) AS head, sum(coalesce(len(list_filter(picks, lambda p: p IS NOT NULL)), 0))::bigint AS phases
 FROM de WHERE ot IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL AND dep IS NOT NULL AND cc IS NOT NULL AND temp_id IS NOT NULL GROUP BY 1""",
     "o25_phase_times": f"""WITH {_PK} SELECT pick_id, rpad(split_part(sta, '.', 2), 5, ' ') || split_part(sta, '.', 1) || '  HHZ IP 0 ' || strftime(make_timestamp(tp), '%Y%m%d%H%M') || ' ' || strftime(make_timestamp(tp), '%S') || lpad((tp % 1000000 // 10000)::varchar, 2, '0')
