@@ -28,6 +28,8 @@ def plain(v):  # noqa: ANN001, ANN201
         return v.replace(tzinfo=None)
     if isinstance(v, list | tuple):
         return tuple(plain(x) for x in v)
+    if isinstance(v, dict):
+        return tuple(plain(x) for x in v.values())
     return v
 
 
