@@ -13,7 +13,7 @@ from tremorline.llm.components import group_ids, local_roots
 from tremorline.llm.mixing import MixOptions, mix_documents
 from tremorline.llm.packing import best_filling, fill_report, pack, pack_items
 from tremorline.llm.spans import GEAR, MIN_CHARS, SPREAD, chunks, code_points, gear_hash, shared_spans, window_hashes
-from tremorline.llm.survivors import FieldRule, claims_of, truth_discovery
+from tremorline.llm.survivors import FieldRule, claims_of, truth_discovery, votes_of, winners_of
 from tremorline.llm.tokens import count_tokens, encoder
 
 # ---------------------------------------------------------------- problem 2
@@ -100,6 +100,39 @@ def test_reliability_follows_support(spark):
     assert truth_discovery(empty)[0].count() == 0
 
 
+def test_reliability_decides_survivors(spark):
+    """A source that its groups contradict loses, though it votes twice; without the rounds it would win."""
+    rows = [(10 * g + k, g, src, v) for g in range(20) for k, (src, v) in enumerate((("a", "right"), ("b", "right"), ("c", "wrong")))]
+    rows += [(900, 99, "a", "y"), (901, 99, "c", "x"), (902, 99, "c", "x"), (902, 99, "c", "x"), (903, 99, "a", None)]
+    df = spark.createDataFrame(rows, "m bigint, g bigint, src string, v string")
+    rule = FieldRule("v", F.when(F.col("v").isNotNull(), 1.0), 0.0, 1.0, F.col("v"), ordered=False)
+    claims = claims_of(df, "g", "m", F.col("src"), F.lit(None).cast("bigint"), [rule])
+    winners, weights = truth_discovery(claims)
+    plain = winners_of(votes_of(claims), weights.select("source", F.lit(1.0).alias("weight")))
+    member = lambda d: {r.grp: r.member for r in d.collect()}[99]
+    assert member(winners) == 900 and member(plain) == 901
+    w = {r.source: r.weight for r in weights.collect()}
+    assert w["b"] > 0.9 and w["c"] < 0.2
+    with pytest.raises(RuntimeError):
+        truth_discovery(claims, tolerance=0.0, rounds=4)
+
+
+def test_truth_discovery_against_numpy(spark):
+    rng = random.Random(61)
+    rows = [(i, rng.randrange(40), rng.choice("abcdef"), rng.choice(["p", "q", "r", None]), rng.choice([None, 1, 2, 3])) for i in range(300)]
+    df = spark.createDataFrame(rows, "m bigint, g bigint, src string, v string, age bigint")
+    rule = FieldRule("v", F.when(F.col("v").isNotNull(), 1.0), 0.0, 1.0, F.col("v"), ordered=False)
+    claims = claims_of(df, "g", "m", F.col("src"), F.col("age"), [rule])
+    own = claims.toPandas()
+    w = dict.fromkeys("abcdef", 1.0)
+    for _ in range(300):
+        own["x"] = own["confidence"] * own["source"].map(w)
+        own["s"] = own.groupby(["grp", "value"])["x"].transform("sum") / own.groupby("grp")["x"].transform("sum")
+        w = {k: (p["s"].sum() + 0.5) / (len(p) + 1) for k, p in own.groupby("source")}
+    got = {r.source: r.weight for r in truth_discovery(claims, tolerance=1e-6)[1].collect()}
+    assert got.keys() == w.keys() and all(abs(got[k] - w[k]) < 1e-4 for k in w)
+
+
 # ---------------------------------------------------------------- problem 7
 
 

@@ -24,29 +24,43 @@ def _temp_id() -> Column:
     return F.when((text != "") & (text != "-1"), text)
 
 
-def _winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _claims(spark: SparkSession, sf_dir: str, ordered: bool) -> DataFrame:
+    """Claims of all detections. Their source is the template that made them; equal are codes, correlations to 0.01 and numbers of stations."""
     used = F.filter("picks", lambda p: p.isNotNull() & (p["dt_p"].isNotNull() | p["dt_s"].isNotNull()) & p["net_sta"].isNotNull())
     stations = F.size(F.array_distinct(F.transform(used, lambda p: code(p["net_sta"]))))
+    cc = F.when((F.col("cc") > 0) & (F.col("cc") <= 1), F.col("cc"))
     fields = [
-        FieldRule("temp_id", F.when(_temp_id().isNotNull(), 0.0), 0.0, 1.0),
-        FieldRule("cc", F.when((F.col("cc") > 0) & (F.col("cc") <= 1), F.col("cc")), 0.0, 1.0),
-        FieldRule("picks", F.when(F.col("picks").isNotNull() & (stations >= 1), stations), 0.0, 16.0),
+        FieldRule("temp_id", F.when(_temp_id().isNotNull(), 0.0), 0.0, 1.0, _temp_id(), ordered),
+        FieldRule("cc", cc, 0.0, 1.0, F.round(cc, 2), ordered),
+        FieldRule("picks", F.when(F.col("picks").isNotNull() & (stations >= 1), stations), 0.0, 16.0, stations, ordered),
     ]
-    claims = claims_of(load(spark, sf_dir, "detections"), "clu_id", "det_id", F.coalesce(_temp_id(), F.lit("none")), micros("made_at"), fields)
-    return truth_discovery(claims)[0]
+    return claims_of(load(spark, sf_dir, "detections"), "clu_id", "det_id", F.coalesce(_temp_id(), F.lit("none")), micros("made_at"), fields)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _winners(spark, sf_dir).select(F.col("grp").alias("clu_id"), "field", F.col("member").alias("det_id"))
+    winners = truth_discovery(_claims(spark, sf_dir, ordered=True))[0]
+    return winners.select(F.col("grp").alias("clu_id"), "field", F.col("member").alias("det_id"))
+
+
+def p6_trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The winners where no order binds: in each group and field the value with the highest support."""
+    winners = truth_discovery(_claims(spark, sf_dir, ordered=False))[0]
+    return winners.select(F.col("grp").alias("clu_id"), "field", F.col("member").alias("det_id"), F.round("support", 3).alias("support"))
+
+
+def p6_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reliability of every template."""
+    weights = truth_discovery(_claims(spark, sf_dir, ordered=False))[1]
+    return weights.select(F.col("source").alias("temp_id"), F.round("weight", 2).alias("weight"))
 
 
 def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per group of two or more detections, its fields taken from the winners."""
-    winners = cut(_winners(spark, sf_dir), "winners")
-    values = load(spark, sf_dir, "detections").select(F.col("det_id").alias("member"), F.col("clu_id").alias("grp"), "temp_id", "cc", "picks")
-    own = winners.join(values, ["grp", "member"]).groupBy("grp")
+    winners = cut(p6_found(spark, sf_dir), "winners")
+    values = load(spark, sf_dir, "detections").select("det_id", "clu_id", "temp_id", "cc", "picks")
+    own = values.join(winners, ["clu_id", "det_id"]).groupBy("clu_id")
     take = lambda f: F.any_value(F.when(F.col("field") == f, F.col(f)), True).alias(f)
-    return own.agg(take("temp_id"), take("cc"), take("picks")).withColumnRenamed("grp", "clu_id")
+    return own.agg(take("temp_id"), take("cc"), take("picks"))
 
 
 def _specs(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
@@ -95,7 +109,7 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_packed": p7_packed, "p7_fill": p7_fill,
+    "p2_found": p2_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p6_trusted": p6_trusted, "p6_reliability": p6_reliability, "p7_packed": p7_packed, "p7_fill": p7_fill,
     "p8_found": p8_found, "p8_uses": p8_uses, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared,
 }
 
@@ -124,6 +138,9 @@ c AS (
 )
 """
 P6_FOUND = _P6 + "SELECT clu_id, field, det_id FROM w"
+P6_SURVIVORS = _P6 + """
+SELECT w.clu_id, max(CASE WHEN field = 'temp_id' THEN d.temp_id END) AS temp_id, max(CASE WHEN field = 'cc' THEN d.cc END) AS cc, max(CASE WHEN field = 'picks' THEN d.picks END) AS picks
+FROM w JOIN d USING (clu_id, det_id) GROUP BY w.clu_id"""
 
 _P9 = """
 WITH g AS (
@@ -148,4 +165,4 @@ s AS (SELECT label, sum(size) AS size FROM d GROUP BY label)
 SELECT mix_id, source FROM mix_targets t LEFT JOIN s ON s.label = upper(trim(t.source))
 WHERE max_uses * coalesce(s.size, 0) < target_share * total_ratio * (SELECT sum(size) FROM d)"""
 
-ORACLES = {"p8_found": P8_FOUND, "p2_found": P2_FOUND, "p6_found": P6_FOUND, "p9_found": P9_FOUND, "p9_shared": P9_SHARED}
+ORACLES = {"p8_found": P8_FOUND, "p2_found": P2_FOUND, "p6_found": P6_FOUND, "p6_survivors": P6_SURVIVORS, "p9_found": P9_FOUND, "p9_shared": P9_SHARED}
