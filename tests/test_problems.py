@@ -84,17 +84,55 @@ def random_readings(seed, n=600):
     return rows
 
 
-@pytest.mark.parametrize("block_rows", [250_000, 5])
+@pytest.mark.parametrize("block_rows", [250_000, 40])
 def test_flags_against_brute_force(spark, block_rows):
     rows = random_readings(block_rows)
     rule = ReadingRule(log10=True, limit=2.0, missing=-1.0, block_rows=block_rows)
     df = spark.createDataFrame([(i, s, at(t), y, "x") for i, s, t, y in rows], "id bigint, src string, t timestamp, y double, source string")
     got: dict = {}
-    for r in flag_readings(df, "id", "src", "t", "y", rule).collect():
+    for r in flag_readings(df, "id", "src", "t", "y", rule).where("reason <> 'jump'").collect():
         got.setdefault(r.row_id, set()).add(r.reason)
     assert got == brute_flags(rows, True, 2.0, -1.0, None, None)
 
 
+def brute_jumps(rows, rule):
+    """``{id: score}`` of readings that one filter over each whole source flags, within the limit."""
+    out = {}
+    seen = {r[0]: r for r in rows if r[1] and r[3] is not None and r[3] != rule.missing}
+    for src in {r[1].strip().upper() for r in seen.values()}:
+        own = [(r[2], r[0], math.log10(r[3])) for r in seen.values() if r[1].strip().upper() == src and math.isfinite(r[3]) and r[3] > 0]
+        values = sorted(y for _, _, y in own)
+        q1, mid, q3 = (values[max(0, math.ceil(f * len(values)) - 1)] for f in (0.25, 0.5, 0.75))
+        r = max((q3 - q1) / 1.349, rule.limit / 40) ** 2
+        x, p = 0.0, 0.25 * r
+        for t, i, y in sorted(own, key=lambda o: (-1 if o[0] is None else o[0], o[1])):
+            z = y - mid
+            if t is None:
+                v, s = z, 1.25 * r
+            else:
+                x, p = x * rule.phi, p * rule.phi**2 + 0.01 * r
+                v, s = z - x, p + r
+            if v * v > rule.gate**2 * s:
+                if abs(z) <= rule.limit:
+                    out[i] = v / math.sqrt(s)
+            elif t is not None:
+                x, p = x + p / s * v, p * (1 - p / s)
+    return out
+
+
+def test_scores_do_not_depend_on_blocks(spark):
+    """Jumps come from the filter alone, and its state goes on from block to block."""
+    rng = random.Random(3)
+    rows = random_readings(3, 400) + [(1000 + i, "J.K", 10**7 + 60 * i, 10 ** (-5 + 0.6 * (i % 19 == 3) + rng.gauss(0, 0.1))) for i in range(200)]
+    df = spark.createDataFrame([(i, s, at(t), y) for i, s, t, y in rows], "id bigint, src string, t timestamp, y double")
+    want = brute_jumps(rows, ReadingRule(log10=True, limit=2.0, missing=-1.0))
+    assert len(want) > 5
+    for block_rows in (250_000, 60):
+        rule = ReadingRule(log10=True, limit=2.0, missing=-1.0, block_rows=block_rows)
+        got = {r.row_id: r.score for r in flag_readings(df, "id", "src", "t", "y", rule).where("reason = 'jump'").collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_flags_of_magnitudes_and_empty_table(spark):
     rows = [(k, "N", at(k * 10), 2.0 + 0.01 * k) for k in range(9)] + [(20, "N", at(200), 11.0), (21, "N", at(210), 6.5), (22, None, at(5), -9.0), (23, "N", None, -2.0), (24, "N", at(1), None)]
     df = spark.createDataFrame(rows, "id bigint, src string, t timestamp, y double")

@@ -1,8 +1,9 @@
 """Delimited rows that fail to parse, separated from the valid ones with the reason.
 
 For every schema one anchored pattern for the whole row is generated from its fields. Rows that
-match and whose values lie in range are valid. All others pass through patterns of growing field
-prefixes, which find the first broken field.
+match and whose values lie in range are valid. All others, and only they, pass through patterns of growing
+prefixes of fields: first of fields that merely keep the rule of quotes, then of the fields of their schema.
+The first prefix that fails gives the broken field and the reason.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ BLANK = r"[ \t\r]*+"
 NUMBER = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 STATION = r"[A-Za-z0-9]+\.[A-Za-z0-9]+"
 DAY = r"[0-9]{4}/[0-9]{2}/[0-9]{2}"
-#: A field that stands wholly in quotes, from the line's start or a comma to the next comma or the end.
-QUOTED = rf'(^|,){BLANK}"([^"]*+(?:""[^"]*+)*+)"{BLANK}(?=,|\z)'
+#: The next field that keeps the rule of quotes, where the one before ended, and the comma behind it.
+NEXT_FIELD = rf'\G((?:{BLANK}"[^"]*+(?:""[^"]*+)*+"{BLANK}|[^",]*+)),'
 
 
 @dataclass(frozen=True)
@@ -77,69 +78,63 @@ STATION_ROWS = (
 def split_rows(lines: DataFrame, line_col: str, schemas: Sequence[RowSchema] = STATION_ROWS) -> DataFrame:
     """``lines`` with ``parts array<string>``, ``reason string`` and ``broken int``.
 
-    Valid rows have a null reason and their unquoted fields in ``parts``. Failing rows have the reason:
+    Valid rows have a null reason and their unquoted fields in ``parts`` (null for failing rows). Failing rows have the reason:
     ``quoting`` if a field is neither free of double quotes nor stands wholly in them, else
     ``columns`` if no schema has so many fields, else ``value``; ``broken`` is the position (from 1) of
     the first broken field, for ``columns`` the first one missing or too many. Remarks (first
     non-blank character ``#``) are dropped. A null line is treated as an empty one: ``columns``.
     Other columns are kept as they are; columns of the added names are replaced.
     """
-    lines = lines.withColumn("__line", F.coalesce(F.col(line_col), F.lit("")))
+    rows = lines.withColumn("__line", F.coalesce(F.col(line_col), F.lit("")))
     line = F.col("__line")
-    rows = lines.where(~line.rlike(r"\A\s*#"))
-    # Without its well quoted fields, a line that still has a quote is broken, and its commas count.
-    bare = F.regexp_replace(line, QUOTED, "$1")
-    rows = rows.withColumn("__bare", bare).withColumn("__n", F.size(F.split("__bare", ",", -1)))
-    whole = [F.col("__n") == len(s.fields) for s in schemas]
-    fits = [n & line.rlike(s.prefix(len(s.fields))) for n, s in zip(whole, schemas, strict=True)]
-    # Only quoted fields need care when the line is cut: a comma inside them is text.
-    has_quote = F.contains(line, F.lit('"'))
-    field = r"(?:\A|,)(" + BLANK + r'"[^"]*+(?:""[^"]*+)*+"' + BLANK + r"(?=,|\z)|[^,]*)"
-    cut = F.when(~has_quote, F.split(line, ",", -1)).otherwise(F.regexp_extract_all(line, F.lit(field), F.lit(1)))
-    clean = F.transform(cut, lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", ""))
-    unquoted = F.transform(clean, lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.length(x) >= 2), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
-    rows = rows.withColumn("parts", unquoted).withColumn("__fits", F.coalesce(*[F.when(f, F.lit(i)) for i, f in enumerate(fits)]))
-    ranged = F.coalesce(*[F.when(F.col("__n") == len(s.fields), _in_range(s)) for s in schemas])
-    bad_quote = F.contains("__bare", F.lit('"'))
-    counted = reduce(lambda a, b: a | b, whole)
-    valid = ~bad_quote & F.col("__fits").isNotNull() & F.coalesce(ranged, F.lit(False))
-    reason = F.when(valid, F.lit(None)).when(bad_quote, "quoting").when(~counted, "columns").otherwise("value")
-    rows = rows.withColumn("reason", reason)
-    return rows.withColumn("broken", _first_broken(line, schemas)).drop("__line", "__bare", "__n", "__fits")
+    rows = rows.where(~line.rlike(r"\A\s*#"))
+    # no notation of a field holds blanks, quotes or commas, so in a row that matches they can go
+    rows = rows.withColumn("__cells", F.split(F.translate(line, ' \t\r"', ""), ","))
+    cells, n = F.col("__cells"), F.size("__cells")
+    valid = F.lit(False)
+    for s in schemas:
+        ranged = reduce(lambda a, b: a & b, [f.in_range(F.get(cells, F.lit(i))) for i, f in enumerate(s.fields)] + _in_order(s, cells))
+        valid = F.when(n == len(s.fields), line.rlike(s.prefix(len(s.fields))) & ranged).otherwise(valid)
+    none = F.struct(F.lit(None).cast("string").alias("reason"), F.lit(None).cast("int").alias("broken"))
+    verdict = F.when(F.coalesce(valid, F.lit(False)), none).otherwise(F.transform(F.array(line), lambda x: _first_failure(x, schemas))[0])
+    # a generated column, so that a filter on it does not make Spark evaluate it a second time
+    rows = rows.select("*", F.explode(F.array(verdict)).alias("__why"))
+    kept = [c for c in lines.columns if c not in ("parts", "reason", "broken")]
+    return rows.select(*kept, F.when(F.col("__why.reason").isNull(), cells).alias("parts"), F.col("__why.reason").alias("reason"), F.col("__why.broken").alias("broken"))
 
 
 def _part(i: int) -> Column:
     return F.get("parts", F.lit(i))
 
 
-def _in_range(schema: RowSchema) -> Column:
+def _in_order(schema: RowSchema, cells: Column) -> list[Column]:
     at = {f.name: i for i, f in enumerate(schema.fields)}
-    ok = reduce(lambda a, b: a & b, [f.in_range(_part(i)) for i, f in enumerate(schema.fields)])
-    for a, b in schema.ordered:
-        first, second = (schema.fields[at[x]].parsed(_part(at[x])) for x in (a, b))
-        ok = ok & F.coalesce(first < second, F.lit(False))
-    return ok
+    day = lambda name: schema.fields[at[name]].parsed(F.get(cells, F.lit(at[name])))
+    return [F.coalesce(day(a) < day(b), F.lit(False)) for a, b in schema.ordered]
 
 
-def _first_broken(line: Column, schemas: Sequence[RowSchema]) -> Column:
-    """Growing prefixes: the first one that fails, or whose last value is out of range, is broken."""
+def _first_failure(line: Column, schemas: Sequence[RowSchema]) -> Column:
+    """``struct(reason, broken)`` of a failing line, from the first prefix of fields that fails."""
     most = max(len(s.fields) for s in schemas)
-    by_value = []
-    for s in schemas:
-        steps = F.lit(None).cast("int")
+    broken = lambda reason, at: F.struct(F.lit(reason).alias("reason"), F.lit(at).cast("int").alias("broken"))
+
+    def by_schema(s: RowSchema, cells: Column) -> Column:
+        out = broken("value", len(s.fields))  # all prefixes match: the last field breaks the order
         for i in reversed(range(len(s.fields))):
-            bad = ~line.rlike(s.prefix(i + 1)) | ~s.fields[i].in_range(_part(i))
-            for a, b in s.ordered:
-                at = {f.name: j for j, f in enumerate(s.fields)}
-                if at[b] == i:
-                    bad = bad | ~F.coalesce(s.fields[at[a]].parsed(_part(at[a])) < s.fields[i].parsed(_part(i)), F.lit(False))
-            steps = F.when(bad, F.lit(i + 1)).otherwise(steps)
-        by_value.append(F.when(F.col("__n") == len(s.fields), steps))
-    # quoting: the fields before the first one that keeps a quote are well formed
-    before = F.substring_index("__bare", '"', 1)
-    by_quote = F.size(F.split(before, ",", -1))
-    by_count = F.least(F.col("__n"), F.lit(most)) + 1
-    return F.when(F.col("reason") == "quoting", by_quote).when(F.col("reason") == "columns", by_count).when(F.col("reason") == "value", F.coalesce(*by_value))
+            out = F.when(~line.rlike(s.prefix(i + 1)) | ~s.fields[i].in_range(F.get(cells, F.lit(i))), broken("value", i + 1)).otherwise(out)
+        return out
+
+    def judge(fields: Column) -> Column:
+        """``fields`` are those of the longest prefix that keeps the rule of quotes; it must be the whole line."""
+        n = F.size(fields)
+        length = F.aggregate(fields, n - 1, lambda total, f: total + F.length(f))
+        plain = F.transform(fields, lambda f: F.translate(f, ' \t\r"', ""))
+        out = broken("columns", F.least(n, F.lit(most)) + 1)
+        for s in schemas:
+            out = F.when(n == len(s.fields), by_schema(s, plain)).otherwise(out)
+        return F.when(length < F.length(line), broken("quoting", n + 1)).otherwise(out)
+
+    return F.transform(F.array(F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(NEXT_FIELD), F.lit(1))), judge)[0]
 
 
 def station_table(lines: DataFrame, line_col: str = "line") -> DataFrame:

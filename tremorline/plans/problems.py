@@ -21,7 +21,7 @@ def p1_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p1_flags(spark, sf_dir).select("tab", "row_id").dropDuplicates()
+    return p1_flags(spark, sf_dir).where("reason <> 'jump'").select("tab", "row_id").dropDuplicates()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_rows(load(spark, sf_dir, "station_lines"), "line").where("reason is not null").select("line_no", "reason")
 
 
+def p4_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failing lines with the position of their first broken field."""
+    return split_rows(load(spark, sf_dir, "station_lines"), "line").where("reason is not null").select("line_no", "reason", "broken")
+
+
 def p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The valid rows of the station files."""
     return station_table(load(spark, sf_dir, "station_lines"))
@@ -47,4 +52,4 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.unionByName(sites).unionByName(inside)
 
 
-QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p3_found": p3_found, "p4_found": p4_found, "p4_rows": p4_rows, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p3_found": p3_found, "p4_found": p4_found, "p4_broken": p4_broken, "p4_rows": p4_rows, "p5_found": p5_found}
