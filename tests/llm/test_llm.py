@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tremorline.llm.components import group_ids, local_roots
-from tremorline.llm.mixing import MixOptions, mix_documents
+from tremorline.llm.mixing import MixOptions, mix_documents, whole_uses
 from tremorline.llm.packing import best_filling, fill_report, pack, pack_items
 from tremorline.llm.spans import GEAR, MIN_CHARS, SPREAD, chunks, code_points, gear_hash, shared_spans, window_hashes
 from tremorline.llm.survivors import FieldRule, claims_of, truth_discovery, votes_of, winners_of
@@ -215,6 +215,34 @@ def test_mix_meets_targets(spark):
             assert r.actual_tokens == r.capacity_tokens < r.target_tokens
 
 
+def test_fit_chooses_documents(spark):
+    """Half of the texts of a source read like the other one: equal rates miss the domains' targets, the fit meets them, and the labels' too."""
+    rng = random.Random(80)
+    docs = [(i, words(rng, "ab"[i % 2] if i % 4 < 2 or i % 3 else "b", rng.randrange(20, 60)), "ab"[i % 2]) for i in range(800)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    tf = spark.createDataFrame([(1, "a", 0.7, 2, 0.5), (1, "b", 0.3, 2, 0.5)], "mix_id int, source string, target_share double, max_uses int, total_ratio double")
+    rows = mix_documents(df, tf)[1].collect()
+    off = lambda c: sum(abs(r[c] - r.target_tokens) for r in rows)
+    assert all(abs(r.actual_share - r.target_share) < 0.002 for r in rows)
+    assert off("expected_tokens") < 0.2 * off("expected_equal")
+    with pytest.raises(RuntimeError):
+        mix_documents(df, tf, MixOptions(rounds=0, tolerance=1e-9))
+
+
+def test_whole_uses():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        n = np.sort(rng.integers(1, 500, 30))[::-1]
+        x = np.clip(rng.uniform(-0.5, 2.5, 30), 0, 2)
+        uses = whole_uses(x, n, 2)
+        assert uses.min() >= 0 and uses.max() <= 2
+        off = (x * n).sum() - (uses * n).sum()
+        free = n[uses < 2] if off > 0 else n[uses > 0]
+        assert not len(free) or abs(off) <= free.min() / 2 + 1e-9  # no text that can still move would bring it closer
+    # one long text with a small rate: the others make it up
+    assert (whole_uses(np.array([0.33, 0.0, 0.0]), np.array([7908, 1500, 1100]), 1) * [7908, 1500, 1100]).sum() == 2600
+
+
 def test_mix_without_documents(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id bigint, text string, source string")
     tf = spark.createDataFrame([(1, "a", 1.0, 2, 1.0)], "mix_id int, source string, target_share double, max_uses int, total_ratio double")

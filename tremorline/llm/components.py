@@ -7,7 +7,9 @@ the first, which are the edges of the next round, among representatives only. Wh
 left the parents are stable, and the chain of parents is resolved from the last round back.
 
 Vertices are compared by a scrambled id, so that long chains in order of their ids shrink as fast as
-others. A vertex with very many links has them spread over all cells of its row and column.
+others. A vertex with very many links has them spread over all cells of its row and column, and a cell that
+still holds far more edges than others is divided by a hash of the edge: any division of the edges is as good,
+since the representatives are exchanged in the same way. Chains of parents are followed with hot parents apart.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremorline.session import cut, join_hot, spread
+from tremorline.session import cut, join_hot, small_side, spread
 
 
 def scramble(c: Column) -> Column:
@@ -55,6 +57,17 @@ def _cell_roots(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"v": v, "r": r})
 
 
+def _divide(cells: DataFrame, edges: int, cell_edges: int) -> DataFrame:
+    """``i, j, part, a, b``: cells of more than ``2 * cell_edges`` edges in parts of about ``cell_edges``."""
+    cells = cells.select("i", "j", "a", "b")
+    if edges <= 2 * cell_edges:
+        return cells.withColumn("part", F.lit(0))
+    full = cells.groupBy("i", "j").agg(F.count("*").alias("n")).where(F.col("n") > 2 * cell_edges)
+    full = small_side(full.select("i", "j", F.ceil(F.col("n") / cell_edges).alias("parts")), "cells")
+    part = F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1).cast("bigint"))).cast("int")
+    return cells.join(full, ["i", "j"], "left").select("i", "j", part.alias("part"), "a", "b")
+
+
 def group_ids(pairs: DataFrame, a: str, b: str, missing: int | None = None, cell_edges: int = 250_000, least_blocks: int = 4) -> DataFrame:
     """``(id bigint, group_id bigint)``: every id of the pairs and the smallest id it is linked to, directly or not.
 
@@ -72,7 +85,8 @@ def group_ids(pairs: DataFrame, a: str, b: str, missing: int | None = None, cell
         blocks = max(1 if rounds else least_blocks, math.ceil(math.sqrt(2 * n / cell_edges)))
         block = lambda c: F.pmod(F.xxhash64(c, F.lit(len(rounds))), F.lit(blocks)).cast("int")  # noqa: B023, E731
         cells = edges.withColumn("i", F.least(block("a"), block("b"))).withColumn("j", F.greatest(block("a"), block("b")))
-        roots = spread(cells.select("i", "j", "a", "b"), "i", "j").groupBy("i", "j").applyInPandas(_cell_roots, "v bigint, r bigint")
+        cells = _divide(cells, n, cell_edges)
+        roots = spread(cells, "i", "j", "part").groupBy("i", "j", "part").applyInPandas(_cell_roots, "v bigint, r bigint")
         # at most one representative per cell of the vertex's row and column
         state = cut(roots.groupBy("v").agg(F.min("r").alias("p"), F.collect_set("r").alias("rs")), f"parents{len(rounds)}")
         rounds.append(state.where(~F.array_contains("rs", F.col("v"))).select("v", "p"))
@@ -85,7 +99,7 @@ def group_ids(pairs: DataFrame, a: str, b: str, missing: int | None = None, cell
         return ids.select("id", F.col("id").alias("group_id"))
     top = rounds[-1].select("v", F.col("p").alias("root"))
     for k, own in enumerate(reversed(rounds[:-1])):
-        up = own.join(top.select(F.col("v").alias("p"), "root"), "p", "left").select("v", F.coalesce("root", "p").alias("root"))
+        up = join_hot(own, top.select(F.col("v").alias("p"), "root"), "p", "left").select("v", F.coalesce("root", "p").alias("root"))
         top = up.unionByName(top)
         if k % 4 == 3:
             top = cut(top, "resolved")

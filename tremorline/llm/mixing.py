@@ -1,19 +1,22 @@
 """Mixing sources to target shares: soft domain membership and a distributed least-squares fit.
 
 A naive Bayes classifier on token counts, trained on a bounded sample of labelled documents, gives
-every document a posterior over the domains; a document's own label counts as strong evidence. Each
-document of a named source then has a rate (expected uses, from 0 to the cap), and projected gradient
-steps change the rates until the expected token totals of the domains meet the targets in the
-least-squares sense. A step needs only the totals of all documents: each document replays the short
-history of steps to know its rate, so nothing per document is sent around. The last steps count by
-label alone, because the shares are reported by label. Rates become whole uses by carrying the
-rounding error from document to document.
+every document a posterior over the domains (the sources that a mix names, and all others). Each
+document of a named source has a rate, its expected uses between 0 and the cap. Projected gradient
+steps change the rates until the expected token totals of the domains, each document counted by its
+posterior, are as close to the targets as least squares can bring them; the projection keeps every
+rate within its bounds and every source's own tokens at its target, or at all it has. So the labels
+say how much of a source is taken, and the fit says which of its documents.
+
+Documents of one source and alike posteriors have one rate. The fit works on those cells, whose token
+and posterior sums are exact and are summed over all documents once; a step is one job over the cells,
+grouped by source. Rates become whole uses by carrying the rounding error from document to document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,28 +25,36 @@ from pyspark.sql import functions as F
 
 from tremorline.functions.geo import code
 from tremorline.llm.tokens import VOCABULARY, encoder
-from tremorline.session import cut
+from tremorline.session import cut, small_side
 
 #: Token ids are counted modulo this many buckets.
 BUCKETS = 4096
+#: A cell: the two likeliest domains and this many levels of each of their probabilities.
+LEVELS = 8
+#: The targets are parameters: more rows, or more sources named by them, are refused.
+MOST_ROWS, MOST_SOURCES = 10_000, 100
+#: Step lengths that one job tries.
+LENGTHS = (1.0, 0.5, 0.25, 0.1)
 
 
 @dataclass(frozen=True)
 class MixOptions:
-    """``sample_docs``: bound of the labelled sample for the classifier. ``label_weight``: weight of a document's own label."""
+    """``sample_docs``: bound of the labelled sample for the classifier. ``ridge``: how much plain equal rates are preferred.
+
+    A fit that has not settled to ``tolerance`` (as a share of the mix) after ``rounds`` steps raises.
+    """
 
     vocabulary: str = VOCABULARY
     sample_docs: int = 20_000
-    label_weight: float = 0.9
-    soft_rounds: int = 10
-    label_rounds: int = 15
+    ridge: float = 1e-2
     tolerance: float = 1e-4
-    shard_docs: int = 200_000
+    rounds: int = 60
+    shard_docs: int = 20_000
 
 
 @dataclass
 class Domains:
-    """The labels in order, and the trained weights: ``logp[domain, bucket]`` and ``prior[domain]``."""
+    """The named labels in order (one more domain stands for all others), and the trained weights."""
 
     labels: list[str]
     logp: np.ndarray
@@ -56,145 +67,150 @@ class Domains:
         return p / p.sum()
 
 
-def _bounded(df: DataFrame, what: str, most: int = 10_000) -> list:
-    """All rows of a table that must fit the driver; more than ``most`` are refused."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} {what}")
-    return rows
-
-
-def train_domains(docs: DataFrame, options: MixOptions) -> Domains:
+def train_domains(docs: DataFrame, labels: list[str], options: MixOptions) -> Domains:
     """Train on at most about ``sample_docs`` labelled documents, chosen by a hash of their id."""
     labelled = docs.where("label is not null and text is not null")
-    sizes = {r[0]: r[1] for r in _bounded(labelled.groupBy("label").count(), "sources")}
-    labels, total = sorted(sizes) or [""], sum(sizes.values())  # a label that no document has, if there are none
     at = {label: k for k, label in enumerate(labels)}
+    domain = F.when(F.col("label").isin(labels), F.col("label"))  # null: another source
+    sizes = {r[0]: r[1] for r in labelled.groupBy(domain.alias("domain")).count().collect()}
+    total = sum(sizes.values())
     share = min(1.0, options.sample_docs / max(1, total))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else labelled
-    path = options.vocabulary
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) / float(1 << 53)
+    sample = labelled.where(draw < share) if share < 1 else labelled
+    path, width = options.vocabulary, len(labels) + 1
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((len(at), BUCKETS))
+        counts = np.zeros((width, BUCKETS))
         for pdf in batches:
             for label, text in zip(pdf["label"], pdf["text"], strict=True):
                 ids = np.asarray(encoder(path).encode_ordinary(text), "i8") % BUCKETS
-                counts[at[label]] += np.bincount(ids, minlength=BUCKETS)
+                counts[at.get(label, width - 1)] += np.bincount(ids, minlength=BUCKETS)
         k, b = np.nonzero(counts)
         yield pd.DataFrame({"k": k.astype("i4"), "b": b.astype("i4"), "n": counts[k, b]})
 
-    counts = np.ones((len(labels), BUCKETS)) * 0.5
-    for k, b, n in sample.select("label", "text").mapInPandas(kernel, "k int, b int, n double").groupBy("k", "b").agg(F.sum("n")).collect():
+    counts = np.ones((width, BUCKETS)) * 0.5
+    sums = sample.select("label", "text").mapInPandas(kernel, "k int, b int, n double").groupBy("k", "b").agg(F.sum("n").alias("n"))
+    for k, b, n in sums.groupBy("k").agg(F.collect_list("b"), F.collect_list("n")).collect():  # a row per domain
         counts[k, b] += n
-    prior = np.log(np.array([sizes.get(x, 1) for x in labels], "f8") / max(1, total))
+    prior = np.log(np.array([sizes.get(x, 0) + 1.0 for x in (*labels, None)]) / (total + width))
     return Domains(labels, np.log(counts / counts.sum(axis=1, keepdims=True)), prior)
 
 
 def score_documents(docs: DataFrame, domains: Domains, options: MixOptions) -> DataFrame:
-    """``doc_id, label, n_tokens, p array<float>``: sizes and domain posteriors of all documents with a text."""
-    at, path, own = {x: k for k, x in enumerate(domains.labels)}, options.vocabulary, options.label_weight
+    """``doc_id, label, n_tokens, bin, p array<double>``: sizes, cells and domain posteriors of all documents with a text."""
+    path, width = options.vocabulary, len(domains.labels) + 1
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path).encode_ordinary
         for pdf in batches:
-            n, ps = np.zeros(len(pdf), "i8"), []
-            for i, (label, text) in enumerate(zip(pdf["label"], pdf["text"], strict=True)):
+            n, p = np.zeros(len(pdf), "i8"), np.zeros((len(pdf), width))
+            for i, text in enumerate(pdf["text"]):
                 ids = np.asarray(encode(text), "i8")
-                n[i] = len(ids)
-                p = domains.posterior(ids)
-                if label in at:
-                    p = p * (1 - own)
-                    p[at[label]] += own
-                ps.append(p.astype("f4"))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "n_tokens": n, "p": pd.Series(ps, dtype=object)})
+                n[i], p[i] = len(ids), domains.posterior(ids)
+            order = np.argsort(-p, axis=1, kind="stable")
+            top = [order[:, min(j, width - 1)] for j in (0, 1)]
+            level = [np.minimum(p[np.arange(len(p)), t] * LEVELS, LEVELS - 1).astype("i8") for t in top]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "n_tokens": n, "bin": ((top[0] * width + top[1]) * LEVELS + level[0]) * LEVELS + level[1], "p": pd.Series(list(p[:, :-1]), dtype=object)})
 
-    return docs.where("text is not null").mapInPandas(kernel, "doc_id bigint, label string, n_tokens bigint, p array<float>")
+    return docs.where("text is not null").mapInPandas(kernel, "doc_id bigint, label string, n_tokens bigint, bin bigint, p array<double>")
 
 
 @dataclass
-class Plan:
-    """All mixes at once: caps and targets ``[mix, domain]``, and the steps so far as ``(by label?, step[mix, domain])``."""
+class Mixes:
+    """All mixes at once, by ``[mix, label]``: caps, tokens wanted, and tokens to take (no more than there are)."""
 
     labels: list[str]
+    size: np.ndarray
     cap: np.ndarray
-    target: np.ndarray
-    steps: list[tuple[bool, np.ndarray]] = field(default_factory=list)
-
-    def rates(self, k: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Rates ``[doc, mix]`` of documents with label number ``k`` (-1: none) and posteriors ``p``."""
-        cap = np.where((k >= 0)[:, None], self.cap.T[np.maximum(k, 0)], 0.0)
-        x = np.zeros_like(cap)
-        for by_label, step in self.steps:
-            move = step.T[np.maximum(k, 0)] if by_label else p @ step.T
-            x = np.clip(x + move, 0.0, cap)
-        return x
-
-
-def _numbers(pdf: pd.DataFrame, labels: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = {x: i for i, x in enumerate(labels)}
-    k = np.array([at.get(x, -1) for x in pdf["label"]], "i8")
-    p = np.stack(pdf["p"].to_list()).astype("f8") if len(pdf) else np.zeros((0, len(labels)))
-    return k, pdf["n_tokens"].to_numpy("f8"), p
-
-
-def _totals(scored: DataFrame, what, size: int) -> np.ndarray:  # noqa: ANN001
-    """Sum over all documents of the vector that ``what(pdf)`` gives for a batch."""
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size)
-        for pdf in batches:
-            if len(pdf):
-                total += what(pdf)
-        yield pd.DataFrame({"i": np.arange(size), "v": total})
-
-    out = np.zeros(size)
-    for i, v in scored.mapInPandas(kernel, "i int, v double").groupBy("i").agg(F.sum("v")).collect():
-        out[i] = v
-    return out
-
-
-def fit_rates(scored: DataFrame, labels: list[str], cap: np.ndarray, share: np.ndarray, ratio: np.ndarray, options: MixOptions) -> tuple[Plan, np.ndarray, float]:
-    """The fitted plan, the tokens of each label, and the tokens of all documents."""
-    m, k = cap.shape
-
-    def sizes(pdf: pd.DataFrame) -> np.ndarray:
-        own, n, p = _numbers(pdf, labels)
-        by = np.bincount(own + 1, weights=n, minlength=k + 1)
-        grams = [(p * (n * (own >= 0) * (cap[i][np.maximum(own, 0)] > 0))[:, None]).T @ p for i in range(m)]
-        return np.concatenate([by, *[g.ravel() for g in grams]])
-
-    first = _totals(scored, sizes, k + 1 + m * k * k)
-    by_label, total = first[1 : k + 1], float(first[: k + 1].sum())
-    gram = first[k + 1 :].reshape(m, k, k)
-    plan = Plan(labels, cap, share * ratio[:, None] * total)
-    inverse = np.stack([np.linalg.pinv(g, rcond=1e-6) for g in gram]) if m else np.zeros((0, k, k))
-
-    for phase, rounds in ((False, options.soft_rounds), (True, options.label_rounds)):
-        before = None
-        for _ in range(rounds):
-
-            def reached(pdf: pd.DataFrame, phase: bool = phase) -> np.ndarray:
-                own, n, p = _numbers(pdf, labels)
-                x = plan.rates(own, p)
-                if not phase:
-                    return ((x * n[:, None]).T @ p).ravel()
-                top = np.where((own >= 0)[:, None], plan.cap.T[np.maximum(own, 0)], 0.0)
-                parts = (x, x < top, x > 0)  # totals, and the tokens that could still go up or down
-                return np.stack([np.bincount(np.maximum(own, 0), weights=v[:, i] * n, minlength=k) for v in parts for i in range(m)]).ravel()
-
-            got = _totals(scored, reached, (3 if phase else 1) * m * k).reshape(-1, m, k) if m and k else np.zeros((3, m, k))
-            now, rest = got[0], plan.target - got[0]
-            scale = np.maximum(plan.target.sum(axis=1, keepdims=True), 1.0)
-            if before is not None and (np.abs(now - before) / scale).max(initial=0) < options.tolerance:
-                break
-            before = now
-            if phase:
-                free = np.where(rest > 0, got[1], got[2])
-                step = np.where(free > 0, rest / np.maximum(free, 1.0), 0.0)
-            else:
-                step = np.einsum("mij,mj->mi", inverse, rest)
-            plan.steps.append((phase, step))
-    return plan, by_label, total
+    goal: np.ndarray
+
+    def take(self) -> np.ndarray:
+        return np.minimum(self.goal, self.cap * self.size)
+
+    def rates(self, k: int, n: np.ndarray, p: np.ndarray, i: int, pull: np.ndarray) -> np.ndarray:
+        """Rates in mix ``i`` of the cells of label ``k`` (tokens ``n``, mean posteriors ``p``): the equal rate moved by ``p @ pull``,
+        then projected to rates within 0 and the cap that take the label's tokens."""
+        cap, take = self.cap[i, k], self.take()[i, k]
+        if take <= 0:
+            return np.zeros(len(n))
+        z = take / self.size[k] + p @ pull
+        low, high = z.min() - cap, z.max()
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if n @ np.clip(z - mid, 0.0, cap) > take else (low, mid)
+        return np.clip(z - (low + high) / 2, 0.0, cap)
+
+
+def _evaluate(cells: DataFrame, mixes: Mixes, pulls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ``pulls [try, mix, domain]`` the expected domain tokens ``[try, mix, domain]`` and their change with the pull ``[.., domain, domain]``."""
+    at, (t, m, k) = {x: j for j, x in enumerate(mixes.labels)}, pulls.shape
+
+    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, mass = pdf["n"].to_numpy("f8"), np.stack(pdf["mass"].to_list()).astype("f8")
+        p, own = mass / n[:, None], at[key[0]]
+        out = np.zeros((t, m, k * (1 + k)))
+        for j in range(t):
+            for i in range(m):
+                x = mixes.rates(own, n, p, i, pulls[j, i])
+                free = (x > 1e-9) & (x < mixes.cap[i, own] - 1e-9)
+                out[j, i, :k] = x @ mass
+                if free.any():
+                    centred = p[free] - np.average(p[free], axis=0, weights=n[free])
+                    out[j, i, k:] = ((centred * n[free][:, None]).T @ centred).ravel()
+        return pd.DataFrame({"v": [out.ravel()]})
+
+    sums = cells.groupBy("label").applyInPandas(kernel, "v array<double>").select(F.posexplode("v")).groupBy("pos").agg(F.sum("col"))
+    flat = np.zeros(t * m * k * (1 + k))
+    for pos, v in sums.collect():
+        flat[pos] = v
+    flat = flat.reshape(t, m, k * (1 + k))
+    return flat[..., :k], flat[..., k:].reshape(t, m, k, k)
+
+
+def fit_pulls(cells: DataFrame, mixes: Mixes, options: MixOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``pull [mix, domain]`` at the least squares, and the expected domain tokens there and at equal rates.
+
+    The gradient of the squared error with regard to a document's rate is its posterior times the errors of the domains, so
+    the sum of all steps is one pull per domain. A step is the gradient scaled by the inverse of its change.
+    """
+    m, k = mixes.cap.shape
+    pull = np.zeros((m, k))
+    if not (m and k):
+        return pull, pull, pull
+    scale = np.maximum(mixes.goal.sum(axis=1), 1.0)[:, None]
+    got, change = (x[0] for x in _evaluate(cells, mixes, pull[None]))
+    equal = got
+    ridge = np.maximum(options.ridge * np.trace(change, axis1=1, axis2=2)[:, None] / scale / k, 1e-9)
+    error = (mixes.goal - got) / scale - ridge * pull
+    for _ in range(options.rounds):
+        if np.abs(error).max() <= options.tolerance:
+            return pull, got, equal
+        step = np.linalg.solve(change / scale[..., None] + ridge[..., None] * np.eye(k), error[..., None])[..., 0]
+        tries = np.stack([pull + a * step for a in LENGTHS])
+        gots, changes = _evaluate(cells, mixes, tries)
+        errors = (mixes.goal - gots) / scale - ridge * tries
+        best = np.square(errors).sum(axis=2).argmin(axis=0)
+        pull, got, change, error = (x[best, np.arange(m)] for x in (tries, gots, changes, errors))
+    raise RuntimeError(f"the fit still moves by {np.abs(error).max():.2g} of a mix after {options.rounds} steps")
+
+
+def whole_uses(x: np.ndarray, n: np.ndarray, cap: int) -> np.ndarray:
+    """Whole uses (0 to ``cap``) of documents of ``n`` tokens, long ones first, whose tokens together come to those of the rates ``x``.
+
+    Each document takes its rate rounded down or up, whichever brings the tokens so far closer to where they should be. What is left
+    at the end is made up by the longest documents that fit it.
+    """
+    uses, over = np.zeros(len(x), "i8"), 0.0
+    for d, (rate, size) in enumerate(zip(x.tolist(), n.tolist(), strict=True)):
+        u = min(max(round(rate - over / size), int(rate)), min(cap, int(np.ceil(rate))))
+        uses[d] = u
+        over += (u - rate) * size
+    for d, size in enumerate(n.tolist()):
+        if abs(over) > size / 2:
+            more = min(max(round(-over / size), -uses[d]), cap - uses[d])
+            uses[d] += more
+            over += more * size
+    return uses
 
 
 def mix_documents(docs: DataFrame, targets: DataFrame, options: MixOptions = MixOptions()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
@@ -202,58 +218,72 @@ def mix_documents(docs: DataFrame, targets: DataFrame, options: MixOptions = Mix
 
     ``uses``: ``mix_id, doc_id, source, n_tokens, uses``, one row per document that a mix takes, 1 to
     ``max_uses`` times. ``shares``: one row per row of ``targets`` with ``target_tokens``,
-    ``source_tokens``, ``capacity_tokens`` (all uses), ``feasible``, ``actual_tokens``, ``actual_share`` (of the mix's
-    intended size) and ``reached_share`` (of the size it reached). Sources are compared without case and surrounding blanks. Documents without source belong
+    ``source_tokens``, ``capacity_tokens`` (all uses), ``feasible``, ``fitted_tokens`` (by the rates), ``actual_tokens``, ``actual_share`` (of the mix's
+    intended size), ``reached_share`` (of the size it reached), and ``expected_tokens`` and ``expected_equal``: the domain's
+    tokens by the posteriors, at the fitted rates and at equal rates. Sources are compared without case and surrounding blanks. Documents without source belong
     to no source but count in the size of all documents; null texts have no size. A source without
     documents, or with too few, is taken as often as allowed and its row is not feasible.
     """
     spark = docs.sparkSession
+    wanted = targets.select("mix_id", "source", code("source").alias("label"), "target_share", "max_uses", "total_ratio").limit(MOST_ROWS + 1).collect()
+    named = sorted({r.label for r in wanted if r.label})
+    if len(wanted) > MOST_ROWS or len(named) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_ROWS} rows of targets or {MOST_SOURCES} sources")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", code("source").alias("label"))
-    domains = train_domains(rows, options)
-    scored = cut(score_documents(rows, domains, options), "scored")
-    wanted = targets.select("mix_id", "source", code("source").alias("label"), "target_share", "max_uses", "total_ratio")
-    wanted = _bounded(wanted, "rows of targets")
-    mixes = sorted({r.mix_id for r in wanted})
-    at = {x: i for i, x in enumerate(domains.labels)}
-    shape = (len(mixes), len(at))
-    cap, share, ratio = np.zeros(shape), np.zeros(shape), np.zeros(len(mixes))
+    scored = cut(score_documents(rows, train_domains(rows, named, options), options), "scored")
+    sums = scored.groupBy(F.when(F.col("label").isin(named), F.col("label")).alias("label")).agg(F.sum("n_tokens")).collect()
+    by_label, total = {r[0]: float(r[1]) for r in sums}, float(sum(r[1] for r in sums))
+
+    at, ids = {x: j for j, x in enumerate(named)}, sorted({r.mix_id for r in wanted})
+    cap, share, ratio = np.zeros((len(ids), len(named))), np.zeros((len(ids), len(named))), np.zeros(len(ids))
     for r in wanted:
-        i = mixes.index(r.mix_id)
+        i = ids.index(r.mix_id)
         ratio[i] = r.total_ratio
-        if r.label in at:
+        if r.label:
             cap[i, at[r.label]], share[i, at[r.label]] = r.max_uses, r.target_share
-    plan, by_label, total = fit_rates(scored, domains.labels, cap, share, ratio, options)
+    mixes = Mixes(named, np.array([by_label.get(x, 0.0) for x in named]), cap, share * ratio[:, None] * total)
+    mass = F.array(*[F.sum(F.col("n_tokens") * F.get("p", F.lit(j))) for j in range(len(named))])
+    cells = scored.where(F.col("label").isin(named) & (F.col("n_tokens") > 0)).groupBy("label", "bin").agg(F.sum("n_tokens").cast("double").alias("n"), mass.cast("array<double>").alias("mass"))
+    cells = cut(cells, "cells")
+    pull, expected, equal = fit_pulls(cells, mixes, options)
+
+    def rate_kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, own = pdf["n"].to_numpy("f8"), at[key[0]]
+        p = np.stack(pdf["mass"].to_list()).astype("f8") / n[:, None]
+        x = np.stack([mixes.rates(own, n, p, i, pull[i]) for i in range(len(ids))], axis=1) if ids else np.zeros((len(n), 0))
+        return pdf[["label", "bin", "n"]].assign(x=pd.Series(list(x), index=pdf.index, dtype=object))
+
+    rates = cut(cells.groupBy("label").applyInPandas(rate_kernel, "label string, bin bigint, n double, x array<double>"), "rates")
+    tokens = rates.select("label", F.posexplode(F.transform("x", lambda x: x * F.col("n"))).alias("i", "v")).groupBy("i", "label").agg(F.sum("v"))
+    fitted = {(ids[i], label): v for i, label, v in tokens.collect()}  # a number per mix and named source
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "doc_id"], ascending=[False, True], kind="stable")  # small ones make up for large ones
-        own, n, p = _numbers(pdf, plan.labels)
-        x = plan.rates(own, p)
-        out = []
-        for i, mix in enumerate(mixes):
-            carry, uses = np.zeros(len(plan.labels)), np.zeros(len(pdf), "i8")
-            for d in np.flatnonzero((x[:, i] > 0) & (n > 0)):
-                k = own[d]
-                want = x[d, i] + carry[k] / n[d]
-                uses[d] = min(max(round(want), int(x[d, i])), int(np.ceil(x[d, i])))
-                carry[k] += (x[d, i] - uses[d]) * n[d]
-            took = np.flatnonzero(uses)
-            out.append(pd.DataFrame({"mix_id": mix, "doc_id": pdf["doc_id"].to_numpy()[took], "source": pdf["label"].to_numpy()[took], "n_tokens": n[took].astype("i8"), "uses": uses[took].astype("i4")}))
+        pdf = pdf.sort_values(["label", "n_tokens", "doc_id"], ascending=[True, False, True], kind="stable")  # small ones make up for large ones
+        x, out = np.stack(pdf["x"].to_list()), []
+        for label, part in pdf.reset_index(drop=True).groupby("label", sort=True):
+            n, doc = part["n_tokens"].to_numpy("i8"), part["doc_id"].to_numpy("i8")
+            for i, mix in enumerate(ids):
+                uses = whole_uses(x[part.index, i], n, int(cap[i, at[label]]))
+                took = np.flatnonzero(uses)
+                out.append(pd.DataFrame({"mix_id": mix, "doc_id": doc[took], "source": label, "n_tokens": n[took], "uses": uses[took]}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["mix_id", "doc_id", "source", "n_tokens", "uses"])
 
     shards = max(1, round(scored.count() / options.shard_docs))
-    sharded = scored.where("label is not null").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    uses = sharded.groupBy("shard").applyInPandas(kernel, "mix_id int, doc_id bigint, source string, n_tokens bigint, uses int")
+    sharded = scored.where("n_tokens > 0").join(small_side(rates.select("label", "bin", "x"), "rates"), ["label", "bin"])
+    sharded = sharded.select("doc_id", "label", "n_tokens", "x", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
+    uses = sharded.groupBy("shard").applyInPandas(lambda pdf: kernel(pdf.drop(columns="shard")), "mix_id int, doc_id bigint, source string, n_tokens bigint, uses int")
     uses = cut(uses, "uses")
-    got = {(r[0], r[1]): r[2] for r in uses.groupBy("mix_id", "source").agg(F.sum(F.col("uses") * F.col("n_tokens"))).collect()}
+    got = {(r[0], r[1]): int(r[2]) for r in uses.groupBy("mix_id", "source").agg(F.sum(F.col("uses") * F.col("n_tokens"))).collect()}
     reached: dict[int, int] = {}
     for (mix, _), n in got.items():
-        reached[mix] = reached.get(mix, 0) + int(n)
+        reached[mix] = reached.get(mix, 0) + n
     report = []
     for r in wanted:
-        size = float(r.total_ratio) * total
-        own = float(by_label[at[r.label]]) if r.label in at else 0.0
-        actual = int(got.get((r.mix_id, r.label), 0))
-        goal, most = r.target_share * size, r.max_uses * own
-        report.append((r.mix_id, r.source, r.target_share, actual / size if size else 0.0, actual / max(1, reached.get(r.mix_id, 0)), goal, own, most, actual, r.max_uses, not most < goal))
-    shares = spark.createDataFrame(report, "mix_id int, source string, target_share double, actual_share double, reached_share double, target_tokens double, source_tokens double, capacity_tokens double, actual_tokens bigint, max_uses int, feasible boolean")
-    return uses, shares
+        size, own, i = float(r.total_ratio) * total, by_label.get(r.label, 0.0) if r.label else 0.0, ids.index(r.mix_id)
+        actual, goal, most = got.get((r.mix_id, r.label), 0), float(r.target_share * size), float(r.max_uses * own)
+        soft = [float(v[i, at[r.label]]) if r.label else 0.0 for v in (expected, equal)]
+        by_rates = float(fitted.get((r.mix_id, r.label), 0.0))
+        short = by_rates < goal * (1 - 1e-6) and most < goal  # what the rates could not take is not there
+        report.append((r.mix_id, r.source, r.target_share, actual / size if size else 0.0, actual / max(1, reached.get(r.mix_id, 0)), goal, own, most, by_rates, actual, *soft, r.max_uses, not short))
+    kinds = "mix_id int, source string, target_share double, actual_share double, reached_share double, target_tokens double, source_tokens double, capacity_tokens double, fitted_tokens double, actual_tokens bigint, expected_tokens double, expected_equal double, max_uses int, feasible boolean"
+    return uses, spark.createDataFrame(report, kinds)

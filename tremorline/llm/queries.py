@@ -80,6 +80,20 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p7_packed(spark, sf_dir), _specs(spark, sf_dir))
 
 
+def p7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per spec the texts packed, and the violations: containers over capacity, texts with tokens lost, doubled or cut without need."""
+    specs = _specs(spark, sf_dir)
+    counts = cut(count_tokens(load(spark, sf_dir, "documents"), "doc_id", "text"), "tokens")
+    packed = cut(pack_items(counts, specs), "packed")
+    capacity = F.create_map(*[F.lit(x) for s, c in specs for x in (s, c)])[F.col("spec_id")] if specs else F.lit(0)
+    over = packed.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("used")).where(F.col("used") > capacity).groupBy("spec_id").agg(F.count("*").alias("over"))
+    pieces = packed.groupBy("spec_id", "doc_id").agg(F.sum("n_tokens").alias("got"), F.count("*").alias("pieces"), F.count_distinct("token_start").alias("starts"))
+    whole = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / capacity))
+    broken = (F.col("got") != F.col("n_tokens")) | (F.col("pieces") != whole) | (F.col("starts") != F.col("pieces"))
+    texts = pieces.join(counts, "doc_id").groupBy("spec_id").agg(F.count("*").alias("texts"), F.count_if(broken).alias("broken"))
+    return texts.join(over, "spec_id", "left").select("spec_id", "texts", "broken", F.coalesce("over", F.lit(0).cast("bigint")).alias("over"))
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mix_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))
 
@@ -96,6 +110,17 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target whether it can be met, and whether it was: the share to 0.01 or the tokens to half the source's mean text, each text within its cap."""
+    uses, shares = _mixed(spark, sf_dir)
+    most = uses.withColumn("source", F.lower("source")).groupBy("mix_id", "source").agg(F.max("uses").alias("most"), F.avg("n_tokens").alias("mean"))
+    rows = shares.withColumn("source", F.lower(F.trim("source"))).join(most, ["mix_id", "source"], "left")
+    near = (F.abs(F.col("actual_share") - F.col("target_share")) < 0.01) | (F.abs(F.col("actual_tokens") - F.col("target_tokens")) <= F.col("mean") / 2)
+    full = F.col("actual_tokens") == F.col("capacity_tokens")
+    met = F.when(F.col("feasible"), near).otherwise(full) & (F.coalesce("most", F.lit(0)) <= F.col("max_uses"))
+    return rows.select("mix_id", "source", "feasible", met.alias("met"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(load(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -109,8 +134,8 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p6_trusted": p6_trusted, "p6_reliability": p6_reliability, "p7_packed": p7_packed, "p7_fill": p7_fill,
-    "p8_found": p8_found, "p8_uses": p8_uses, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared,
+    "p2_found": p2_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p6_trusted": p6_trusted, "p6_reliability": p6_reliability, "p7_packed": p7_packed, "p7_fill": p7_fill, "p7_rules": p7_rules,
+    "p8_found": p8_found, "p8_uses": p8_uses, "p8_shares": p8_shares, "p8_rules": p8_rules, "p9_found": p9_found, "p9_shared": p9_shared,
 }
 
 P2_FOUND = """
@@ -164,5 +189,14 @@ WITH d AS (SELECT nullif(upper(trim(source)), '') AS label, strlen(text) AS size
 s AS (SELECT label, sum(size) AS size FROM d GROUP BY label)
 SELECT mix_id, source FROM mix_targets t LEFT JOIN s ON s.label = upper(trim(t.source))
 WHERE max_uses * coalesce(s.size, 0) < target_share * total_ratio * (SELECT sum(size) FROM d)"""
+P8_RULES = """
+WITH d AS (SELECT nullif(upper(trim(source)), '') AS label, strlen(text) AS size FROM documents WHERE text IS NOT NULL),
+s AS (SELECT label, sum(size) AS size FROM d GROUP BY label)
+SELECT mix_id, lower(trim(t.source)) AS source, NOT max_uses * coalesce(s.size, 0) < target_share * total_ratio * (SELECT sum(size) FROM d) AS feasible, true AS met
+FROM mix_targets t LEFT JOIN s ON s.label = upper(trim(t.source))"""
+
+# Every text of every spec is packed and no rule is broken.
+P7_RULES = """
+SELECT spec_id, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS texts, 0::bigint AS broken, 0::bigint AS over FROM (SELECT DISTINCT spec_id FROM pack_specs)"""
 
-ORACLES = {"p8_found": P8_FOUND, "p2_found": P2_FOUND, "p6_found": P6_FOUND, "p6_survivors": P6_SURVIVORS, "p9_found": P9_FOUND, "p9_shared": P9_SHARED}
+ORACLES = {"p7_rules": P7_RULES, "p8_found": P8_FOUND, "p8_rules": P8_RULES, "p2_found": P2_FOUND, "p6_found": P6_FOUND, "p6_survivors": P6_SURVIVORS, "p9_found": P9_FOUND, "p9_shared": P9_SHARED}

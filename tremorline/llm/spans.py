@@ -186,7 +186,7 @@ def _context_kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out).astype({"digest": "i8", "doc_id": "i8", "lo": "i8", "off": "i8", "ctx": object, "hot": bool})
 
 
-def _group_kernel(batches: Iterator[pd.DataFrame], most: int = 40_000) -> Iterator[pd.DataFrame]:
+def _group_kernel(batches: Iterator[pd.DataFrame], most: int = 20_000) -> Iterator[pd.DataFrame]:
     """Rows come sorted by digest; whole digests are handled together, about ``most`` rows at a time."""
     held: list[pd.DataFrame] = []
     for pdf in batches:
@@ -208,27 +208,29 @@ def _window_kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"mixed": mixed.view("i8"), "plain": plain.view("i8"), "doc_id": pdf["doc_id"].to_numpy("i8")[row], "at": pdf["lo"].to_numpy("i8")[row] + s})
 
 
-def shared_spans(docs: DataFrame, id_col: str, text_col: str, hot_rows: int = 200_000) -> DataFrame:
+def shared_spans(docs: DataFrame, id_col: str, text_col: str, hot_rows: int = 10_000) -> DataFrame:
     """``(doc_id, span_start, span_end)``: the maximal stretches of ``MIN_CHARS`` or more characters that also stand in another document.
 
     Positions are code points from 0, the end exclusive; overlapping and touching stretches are joined. Null and
     shorter texts have none; stretches repeated within one document only are none. An id stands for one
-    document. Chunks that more than ``hot_rows`` documents share are compared by a shuffle of their windows in
-    place of one task.
+    document. Chunks that more than ``hot_rows`` documents share (each has up to ``SPREAD`` windows) are compared by a
+    shuffle of their windows in place of one task; the rows are the same either way.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") >= MIN_CHARS))
-    same = [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), F.length("text").cast("bigint").alias("n")]
-    marks = cut(texts.select("doc_id", *same).distinct(), "marks")
-    copied = marks.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
-    copies = cut(marks.join(copied, ["h1", "h2", "n"]).select("doc_id", "n", "first"), "copies")
-    texts = texts.join(copies.where("doc_id <> first").select("doc_id"), "doc_id", "left_anti")
+    # texts with one SHA-256 are one text
+    marks = cut(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), F.length("text").cast("bigint").alias("n")).distinct(), "marks")
+    copied = marks.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("copies")).where("first <> last")
+    copied = cut(copied, "copied")
+    copies = cut(join_hot(marks, copied.select("sha", "first"), "sha", counts=copied.select("sha", F.col("copies").alias("n"))).select("doc_id", "n", "first"), "copies")
+    # sides that grow with the documents are merged, whatever their files weigh
+    texts = texts.join(copies.where("doc_id <> first").select("doc_id").hint("merge"), "doc_id", "left_anti")
 
     found = cut(texts.mapInPandas(_chunk_kernel, CHUNK_ROWS), "chunks")
     digests = found.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     digests = cut(digests.where("a <> b").select("digest", "n", (F.col("n") > hot_rows).alias("hot")), "digests")
-    shared = join_hot(found, digests.select("digest", "hot"), "digest", counts=digests)
+    shared = join_hot(found, digests.select("digest", "hot").hint("merge"), "digest", counts=digests)
     parts = shared.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "place", "hot")).alias("parts"))
-    rows = cut(texts.join(parts, "doc_id").mapInPandas(_context_kernel, "digest bigint, doc_id bigint, lo bigint, off bigint, ctx string, hot boolean"), "contexts")
+    rows = cut(texts.join(parts.hint("merge"), "doc_id").mapInPandas(_context_kernel, "digest bigint, doc_id bigint, lo bigint, off bigint, ctx string, hot boolean"), "contexts")
 
     warm = spread(rows.where("not hot"), "digest").sortWithinPartitions("digest")
     spans = warm.mapInPandas(_group_kernel, INTERVALS)
