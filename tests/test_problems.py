@@ -263,15 +263,15 @@ def test_box_tree_finds_all():
     assert in_triangles(np.array([0.25, 2.0]), np.array([0.25, 2.0]), np.array([[[0, 0], [1, 0], [0, 1.0]]] * 2)).tolist() == [True, False]
 
 
-@pytest.mark.parametrize("shard_rows", [200_000, 20])
-def test_regions_against_brute_force(spark, shard_rows):
+@pytest.mark.parametrize("tile_points", [20_000, 20])
+def test_regions_against_brute_force(spark, tile_points):
     rng = random.Random(2)
     rings = {f"R{k}": star(rng, rng.uniform(-2, 2), rng.uniform(-2, 2), 9) for k in range(12)}
     zones = spark.createDataFrame([(k, [p[0] for p in r], [p[1] for p in r]) for k, r in rings.items()] * 2 + [("N", None, [1.0])], "z string, x array<double>, y array<double>")
     pts = [(i, rng.uniform(-3, 3), rng.uniform(-3, 3)) for i in range(400)]
     rows = [(i, y, x + 360 if x < 0 and i % 2 and x > -180 else x) for i, x, y in pts] + [(900, None, 1.0), (901, 1.0, None), (0, pts[0][2], pts[0][1])]
     df = spark.createDataFrame(rows, "id bigint, lat double, lon double")
-    got = [(r.id, r.region) for r in regions_of(df, "id", "lat", "lon", triangles(zones, "z", "x", "y"), shard_rows=shard_rows).collect()]
+    got = [(r.id, r.region) for r in regions_of(df, "id", "lat", "lon", triangles(zones, "z", "x", "y"), tile_points=tile_points).collect()]
     assert sorted(got) == sorted((i, k) for i, x, y in pts for k, r in rings.items() if inside(x, y, r))
 
 
@@ -303,3 +303,13 @@ def test_near_against_brute_force(spark, centre):
     assert len(got) == len(set(got)) and sure <= set(got) <= maybe
     near = [(r.id, r.site) for r in near_sites(df, "id", "lat", "lon", sf, "s", "la", "lo", km).collect()]
     assert sorted(near) == sorted((p[0], s[0]) for p in pts for s in sites if dist(p, s) < km)
+
+
+def test_crowded_place_is_spread(spark):
+    """One spot with most points, in blocks of a few possible pairs: the same pairs, and no group holds them all."""
+    rng = random.Random(9)
+    pts = [(i, 50.0 + rng.uniform(0, 1e-3), -40.0 + rng.uniform(0, 1e-3)) for i in range(120)] + [(200 + i, 50 + rng.uniform(-1, 1), -40 + rng.uniform(-1, 1)) for i in range(60)]
+    df = spark.createDataFrame(pts, "id bigint, lat double, lon double")
+    plain = sorted(map(tuple, near_pairs(df, "id", "lat", "lon", 0.06).collect()))
+    split = sorted(map(tuple, near_pairs(df, "id", "lat", "lon", 0.06, tile_points=30, block_pairs=400).collect()))
+    assert plain == split and len(plain) > 1000

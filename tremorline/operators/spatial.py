@@ -1,23 +1,26 @@
 """Points near other points, and the regions around points.
 
-Regions: every polygon is cut into triangles by ear clipping; triangles and points meet in tiles of
-the map, where a bounding-volume hierarchy over the tile's triangles gives the candidates for each
-point and every candidate is tested exactly. A point on an edge that two triangles of one region
-share is reported once. Crowded tiles are split by a hash of the point.
+Polygons are cut into triangles by ear clipping; what lies within a distance of a point is a disc.
+Triangles and discs meet the points in tiles of the map, where a bounding-volume hierarchy over the boxes of
+the tile's shapes gives the candidates for each point and every candidate is tested exactly. A point on an
+edge that two triangles of one region share is reported once.
 
-Distances: targets go to one cell of a grid, queries to the cells that their search box touches, and
-the cell is an equality key, so that only neighbours meet.
+A crowded tile is divided into finer ones, and a fine tile that still holds too many points and shapes into
+blocks of some points and some shapes each, so that no task holds more than a bounded number of possible pairs.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorline.functions.geo import KM_PER_DEGREE, east, plane_km
-from tremorline.session import small_side
+from tremorline.functions.geo import KM_PER_DEGREE, east
+from tremorline.session import cut, small_side
 
 
 def ear_triangles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -37,83 +40,73 @@ def ear_triangles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     if np.sum(px * np.roll(py, -1) - np.roll(px, -1) * py) < 0:
         pts = pts[::-1]
         px, py = pts[:, 0], pts[:, 1]
-    ring, out = list(range(len(pts))), []
+    n, out = len(pts), []
+    before, after = np.arange(n) - 1, (np.arange(n) + 1) % n
+    before[0], left, alive = n - 1, n, np.ones(n, bool)
 
     def turn(a: int, b: int, c: int) -> float:
         return (px[b] - px[a]) * (py[c] - py[a]) - (py[b] - py[a]) * (px[c] - px[a])
 
-    while len(ring) > 3:
-        ear, flat = -1, -1
-        for i in range(len(ring)):
-            a, b, c = ring[i - 1], ring[i], ring[(i + 1) % len(ring)]
-            area = turn(a, b, c)
-            if area == 0:
-                flat = i
-                break
-            if area < 0:
-                continue
-            rest = np.array([k for k in ring if k not in (a, b, c)])
-            qx, qy = px[rest], py[rest]
-            inside = np.ones(len(rest), bool)
-            for u, v in ((a, b), (b, c), (c, a)):
-                inside &= (px[v] - px[u]) * (qy - py[u]) - (py[v] - py[u]) * (qx - px[u]) >= 0
-            same = np.zeros(len(rest), bool)
-            for u in (a, b, c):
-                same |= (qx == px[u]) & (qy == py[u])
-            if not (inside & ~same).any():
-                ear = i
-                break
-        if flat >= 0:
-            ring.pop(flat)
+    def holds_none(a: int, b: int, c: int) -> bool:
+        """Whether no other corner of the ring lies in the triangle (corners at the same place as its own do not count)."""
+        rest = np.flatnonzero(alive & (px >= min(px[a], px[b], px[c])) & (px <= max(px[a], px[b], px[c])))
+        qx, qy = px[rest], py[rest]
+        inside = (rest != a) & (rest != b) & (rest != c)
+        for u, v in ((a, b), (b, c), (c, a)):
+            inside &= ((px[v] - px[u]) * (qy - py[u]) - (py[v] - py[u]) * (qx - px[u]) >= 0) & ((qx != px[u]) | (qy != py[u]))
+        return not inside.any()
+
+    at, tried = 0, 0
+    while left > 3:
+        a, c = before[at], after[at]
+        area = turn(a, at, c)
+        # after a whole turn without an ear the polygon is not simple: cut any corner that turns inwards
+        if area != 0 and not (area > 0 and (tried > left or holds_none(a, at, c))) and tried <= 2 * left:
+            at, tried = c, tried + 1
             continue
-        if ear < 0:  # not a simple polygon: cut any corner that turns inwards
-            ear = max(range(len(ring)), key=lambda i: turn(ring[i - 1], ring[i], ring[(i + 1) % len(ring)]))
-        a, b, c = ring[ear - 1], ring[ear], ring[(ear + 1) % len(ring)]
-        out.append((a, b, c))
-        ring.pop(ear)
-    if turn(*ring) != 0:
-        out.append(tuple(ring))
+        if area > 0:
+            out.append((a, at, c))
+        alive[at], left, tried = False, left - 1, 0
+        after[a], before[c] = c, a
+        at = a
+    last = (before[at], at, after[at])
+    if turn(*last) > 0:
+        out.append(last)
     return pts[np.array(out, "i8").reshape(-1, 3)]
 
 
 class BoxTree:
-    """A bounding-volume hierarchy over boxes ``[n, 4]`` (x0, y0, x1, y1), split at the median centre."""
-
-    def __init__(self, boxes: np.ndarray, leaf: int = 4) -> None:
-        self.box, self.kids, self.members = [], [], []
-        if len(boxes):
-            self._build(boxes, np.arange(len(boxes)), leaf)
-
-    def _build(self, boxes: np.ndarray, idx: np.ndarray, leaf: int) -> int:
-        node = len(self.box)
-        own = boxes[idx]
-        self.box.append((*own[:, :2].min(axis=0), *own[:, 2:].max(axis=0)))
-        self.kids.append(())
-        self.members.append(idx)
-        if len(idx) > leaf:
-            centre = own[:, :2] + own[:, 2:]
-            axis = int(np.argmax(np.ptp(centre, axis=0)))
-            order = idx[np.argsort(centre[:, axis], kind="stable")]
-            half = len(order) // 2
-            self.kids[node] = (self._build(boxes, order[:half], leaf), self._build(boxes, order[half:], leaf))
-        return node
+    """A bounding-volume hierarchy over boxes ``[n, 4]`` (x0, y0, x1, y1): neighbours in slabs of x, then by y, are bound together."""
+
+    def __init__(self, boxes: np.ndarray, fan: int = 16) -> None:
+        boxes = np.asarray(boxes, "f8").reshape(-1, 4)
+        n, self.fan = len(boxes), fan
+        centre = boxes[:, :2] + boxes[:, 2:]
+        slab = np.empty(n, "i8")
+        slab[np.argsort(centre[:, 0], kind="stable")] = np.arange(n) // max(1, math.ceil(n / max(1, math.ceil(math.sqrt(n / fan)))))
+        self.order = np.lexsort((centre[:, 1], slab))
+        self.levels = [boxes[self.order]]
+        while len(self.levels[-1]) > fan:
+            low = self.levels[-1]
+            at = np.arange(0, len(low), fan)
+            self.levels.append(np.hstack([np.minimum.reduceat(low[:, :2], at), np.maximum.reduceat(low[:, 2:], at)]))
 
     def candidates(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (point, box) of all points and the boxes of the leaves that hold them."""
+        """Pairs (point, box) of all points and the boxes that hold them."""
         pts, boxes = [np.empty(0, "i8")], [np.empty(0, "i8")]
-        todo = [(0, np.arange(len(x)))] if self.box else []
-        while todo:
-            node, own = todo.pop()
-            x0, y0, x1, y1 = self.box[node]
-            own = own[(x[own] >= x0) & (x[own] <= x1) & (y[own] >= y0) & (y[own] <= y1)]
-            if not len(own):
-                continue
-            if self.kids[node]:
-                todo += [(k, own) for k in self.kids[node]]
-            else:
-                member = self.members[node]
-                pts.append(np.repeat(own, len(member)))
-                boxes.append(np.tile(member, len(own)))
+        for first in range(0, len(x), 50_000):
+            own = np.arange(first, min(first + 50_000, len(x)))
+            p, node = np.repeat(own, len(self.levels[-1])), np.tile(np.arange(len(self.levels[-1])), len(own))
+            for k in range(len(self.levels) - 1, -1, -1):
+                box = self.levels[k][node]
+                held = (x[p] >= box[:, 0]) & (x[p] <= box[:, 2]) & (y[p] >= box[:, 1]) & (y[p] <= box[:, 3])
+                p, node = p[held], node[held]
+                if k:
+                    node = (node[:, None] * self.fan + np.arange(self.fan)).ravel()
+                    p = np.repeat(p, self.fan)
+                    p, node = p[node < len(self.levels[k - 1])], node[node < len(self.levels[k - 1])]
+            pts.append(p)
+            boxes.append(self.order[node])
         return np.concatenate(pts), np.concatenate(boxes)
 
 
@@ -144,95 +137,116 @@ def triangles(regions: DataFrame, id_col: str, x_col: str, y_col: str) -> DataFr
     return rings.dropDuplicates(["region"]).mapInPandas(kernel, "region string, tri array<double>")
 
 
-def regions_of(points: DataFrame, id_col: str, lat_col: str, lon_col: str, tri: DataFrame, tile: float = 0.5, shard_rows: int = 200_000) -> DataFrame:
-    """``(id bigint, region string)``: every region that holds the point, its border included, once.
+#: A tile with more points is divided so that a part has about as many; more possible pairs in one part are split into blocks.
+TILE_POINTS, BLOCK_PAIRS = 20_000, 16_000_000
 
-    Points need an id and both coordinates; others, and points in no region, are left out. Longitudes on
-    0..360 count as on -180..180. Repeated points count once.
+
+def _meet(points: DataFrame, shapes: DataFrame, exact: Callable, tile: float = 0.5, tile_points: int = TILE_POINTS, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
+    """``(id, region)`` of ``points (id, x, y)`` and ``shapes (region, x0, y0, x1, y1, shape)`` that pass ``exact(id, x, y, region, shape)``.
+
+    A point lies in one tile, a shape in all that its box touches. Repeated points and shapes give a pair once.
     """
-    at = lambda c: F.floor(c / tile).cast("bigint")
-    pts = points.select(F.col(id_col).cast("bigint").alias("id"), F.col(lat_col).cast("double").alias("y"), east(F.col(lon_col).cast("double")).alias("x"))
-    pts = pts.where("id is not null and x is not null and y is not null and not isnan(x) and not isnan(y)").select("id", "x", "y", at(F.col("x")).alias("i"), at(F.col("y")).alias("j"))
-    shards = small_side(pts.groupBy("i", "j").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")), "tiles")
-    xs, ys = (F.array(*[F.element_at("tri", k) for k in ks]) for ks in ((1, 3, 5), (2, 4, 6)))
-    tiles = tri.select("region", "tri", F.explode(F.sequence(at(F.array_min(xs)), at(F.array_max(xs)))).alias("i"), ys.alias("ys"))
-    tiles = tiles.select("region", "tri", "i", F.explode(F.sequence(at(F.array_min("ys")), at(F.array_max("ys")))).alias("j"))
-    tiles = tiles.join(shards, ["i", "j"]).select("region", "tri", "i", "j", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    pts = pts.join(shards, ["i", "j"]).select("id", "x", "y", "i", "j", F.pmod(F.xxhash64("id"), F.col("shards").cast("bigint")).cast("int").alias("shard"))
+    kinds = {"id": dict(points.dtypes)["id"], "region": dict(shapes.dtypes)["region"]}
+    floor = lambda c: F.floor(c).cast("bigint")
+    pts = points.select("id", "x", "y", floor(F.col("x") / tile).alias("i"), floor(F.col("y") / tile).alias("j"))
+    span = lambda lo, hi: F.explode(F.sequence(floor(F.col(lo) / tile), floor(F.col(hi) / tile)))
+    shp = shapes.withColumn("i", span("x0", "x1")).withColumn("j", span("y0", "y1"))
+    crowded = pts.groupBy("i", "j").agg(F.count("*").alias("n")).where(F.col("n") > tile_points)
+    crowded = cut(crowded.select("i", "j", F.ceil(F.sqrt(F.col("n") / tile_points) * 2).cast("bigint").alias("parts")), "crowded")
+    if crowded.limit(1).count():
+        crowded = small_side(crowded, "crowded")
+        part = lambda c, own: F.least(F.greatest(floor((F.col(c) / tile - F.col(own)) * F.col("parts")), F.lit(0)), F.col("parts") - 1)
+        pts = pts.join(crowded, ["i", "j"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        pts = pts.select("id", "x", "y", "i", "j", part("x", "i").alias("fi"), part("y", "j").alias("fj"))
+        shp = shp.join(crowded, ["i", "j"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        shp = shp.withColumn("fi", F.explode(F.sequence(part("x0", "i"), part("x1", "i")))).withColumn("fj", F.explode(F.sequence(part("y0", "j"), part("y1", "j")))).drop("parts")
+        key = ["i", "j", "fi", "fj"]
+    else:
+        key = ["i", "j"]
+    # parts whose points and shapes could make too many pairs for a task
+    pairs = pts.groupBy(key).agg(F.count("*").alias("np")).join(shp.groupBy(key).agg(F.count("*").alias("ns")), key)
+    many = F.sqrt(F.col("np") / block_pairs * F.col("ns"))
+    hot = cut(pairs.where(many > 1).select(*key, F.least(F.ceil(many), F.col("np")).alias("pb"), F.least(F.ceil(many), F.col("ns")).alias("sb")), "blocks")
+    if hot.limit(1).count():
+        hot = small_side(hot, "blocks")
+        one = lambda c: F.coalesce(F.col(c), F.lit(1).cast("bigint"))
+        mine = lambda c, n: F.pmod(F.xxhash64(c), one(n))
+        copies = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), one(n) - 1))
+        pts = pts.join(hot, key, "left").withColumn("p", mine("id", "pb")).withColumn("s", copies("sb")).drop("pb", "sb")
+        shp = shp.join(hot, key, "left").withColumn("s", mine("region", "sb")).withColumn("p", copies("pb")).drop("pb", "sb")
+        key = [*key, "p", "s"]
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left[["id", "x", "y"]], right[["region", "x0", "y0", "x1", "y1", "shape"]]
         if left.empty or right.empty:
-            return pd.DataFrame({"id": np.array([], "i8"), "region": np.array([], object)})
-        tri = np.stack(right["tri"].to_list()).reshape(-1, 3, 2)
-        x, y = left["x"].to_numpy(), left["y"].to_numpy()
-        p, t = BoxTree(np.hstack([tri.min(axis=1), tri.max(axis=1)])).candidates(x, y)
-        hit = in_triangles(x[p], y[p], tri[t])
-        return pd.DataFrame({"id": left["id"].to_numpy()[p[hit]], "region": right["region"].to_numpy()[t[hit]]}).drop_duplicates()
+            return pd.DataFrame({"id": left["id"].iloc[:0], "region": right["region"].iloc[:0]})
+        x, y, ids, regions = left["x"].to_numpy(), left["y"].to_numpy(), left["id"].to_numpy(), right["region"].to_numpy()
+        p, s = BoxTree(right[["x0", "y0", "x1", "y1"]].to_numpy()).candidates(x, y)
+        shape = np.stack(right["shape"].to_list())
+        hit = exact(ids[p], x[p], y[p], regions[s], shape[s])
+        return pd.DataFrame({"id": ids[p[hit]], "region": regions[s[hit]]}).drop_duplicates()
 
-    found = pts.groupBy("i", "j", "shard").cogroup(tiles.groupBy("i", "j", "shard")).applyInPandas(kernel, "id bigint, region string")
-    return found.dropDuplicates()  # a repeated point meets one tile, so this only joins its copies
+    return pts.groupBy(key).cogroup(shp.groupBy(key)).applyInPandas(kernel, f"id {kinds['id']}, region {kinds['region']}")
 
 
-def _cell_columns(lat: Column, lon: Column, km: float) -> tuple[Column, Column]:
-    """Band of latitude and cell of longitude; a cell is at least ``km`` wide everywhere in its band."""
-    band = F.floor((lat + 90.0) * KM_PER_DEGREE / km).cast("bigint")
-    return band, F.floor((lon + 180.0) / 360.0 * _cells(band, km)).cast("bigint")
+def regions_of(points: DataFrame, id_col: str, lat_col: str, lon_col: str, tri: DataFrame, tile: float = 0.5, tile_points: int = TILE_POINTS) -> DataFrame:
+    """``(id bigint, region string)``: every region that holds the point, its border included, once.
+
+    Points need an id and both coordinates; others, and points in no region, are left out. Longitudes on
+    0..360 count as on -180..180. Repeated points count once.
+    """
+    pts = points.select(F.col(id_col).cast("bigint").alias("id"), F.col(lat_col).cast("double").alias("y"), east(F.col(lon_col).cast("double")).alias("x"))
+    pts = pts.where("id is not null and x is not null and y is not null and not isnan(x) and not isnan(y)")
+    xs, ys = (F.array(*[F.element_at("tri", k) for k in ks]) for ks in ((1, 3, 5), (2, 4, 6)))
+    shapes = tri.select("region", F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"), F.col("tri").alias("shape"))
+    return _meet(pts, shapes, lambda _id, x, y, _region, tri: in_triangles(x, y, tri.reshape(-1, 3, 2)), tile, tile_points)
 
 
-def _cells(band: Column, km: float) -> Column:
-    """Number of cells around a band."""
-    edge = lambda b: F.cos(F.radians(F.least(F.abs(b * km / KM_PER_DEGREE - 90.0), F.lit(90.0))))
-    narrow = F.least(edge(band), edge(band + 1))
-    return F.greatest(F.lit(1), F.floor(360.0 * KM_PER_DEGREE * narrow / km)).cast("bigint")
+def _places(df: DataFrame, id_col: str, lat_col: str, lon_col: str) -> DataFrame:
+    out = df.select(F.col(id_col).alias("id"), F.col(lat_col).cast("double").alias("y"), east(F.col(lon_col).cast("double")).alias("x"))
+    return out.where("id is not null and y between -90 and 90 and x between -180 and 180")
 
 
-def _search_cells(df: DataFrame, lat: str, lon: str, km: float, cell_km: float, upward: bool = False) -> DataFrame:
-    """``df`` once for each cell that the box of ``km`` around its point touches (``upward``: only the half from its own latitude up)."""
+def _discs(places: DataFrame, km: float, upward: bool = False) -> DataFrame:
+    """The boxes of all discs of ``km`` around places, two where a disc crosses the date line (``upward``: the half from its own latitude up)."""
     pad = F.lit(km / KM_PER_DEGREE * 1.01)
-    low = F.col(lat) if upward else F.greatest(F.col(lat) - pad, F.lit(-90.0))
-    high = F.least(F.col(lat) + pad, F.lit(90.0))
-    band = lambda c: F.floor((c + 90.0) * KM_PER_DEGREE / cell_km).cast("bigint")
-    df = df.withColumn("band", F.explode(F.sequence(band(low), band(high)))).withColumn("_m", _cells(F.col("band"), cell_km))
-    narrow = F.cos(F.radians(F.least(F.abs(F.col(lat)) + pad, F.lit(90.0))))
+    narrow = F.cos(F.radians(F.least(F.abs(F.col("y")) + pad, F.lit(90.0))))
     reach = F.when(narrow > 1e-3, F.least(pad / narrow, F.lit(180.0))).otherwise(180.0)
-    place = lambda c: F.floor((c + 180.0) / 360.0 * F.col("_m")).cast("bigint")
-    first, last = place(F.col(lon) - reach), place(F.col(lon) + reach)
-    last = F.least(last, first + F.col("_m") - 1)  # once around is enough
-    cells = F.transform(F.sequence(first, last), lambda c: F.pmod(c, F.col("_m")))
-    return df.withColumn("cell", F.explode(F.array_distinct(cells))).drop("_m")
+    box = lambda a, b: F.struct(a.cast("double").alias("x0"), b.cast("double").alias("x1"))
+    x, all_round = F.col("x"), reach >= 180.0
+    boxes = F.array(
+        F.when(all_round, box(F.lit(-180), F.lit(180))).otherwise(box(F.greatest(x - reach, F.lit(-180.0)), F.least(x + reach, F.lit(180.0)))),
+        F.when(~all_round & (x - reach < -180), box(x - reach + 360, F.lit(180))),
+        F.when(~all_round & (x + reach > 180), box(F.lit(-180), x + reach - 360)),
+    )
+    rows = places.select(F.col("id").alias("region"), "x", "y", pad.alias("pad"), F.explode(F.filter(boxes, lambda b: b.isNotNull())).alias("b"))
+    return rows.select("region", "b.x0", (F.col("y") if upward else F.col("y") - F.col("pad")).alias("y0"), "b.x1", (F.col("y") + F.col("pad")).alias("y1"), F.array("x", "y").alias("shape"))
 
 
-def _places(df: DataFrame, id_col: str, lat_col: str, lon_col: str) -> DataFrame:
-    out = df.select(F.col(id_col).alias("id"), F.col(lat_col).cast("double").alias("lat"), east(F.col(lon_col).cast("double")).alias("lon"))
-    return out.where("id is not null and lat between -90 and 90 and lon between -180 and 180").dropDuplicates(["id"])
+def _km(x: np.ndarray, y: np.ndarray, to: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Distance on the plane at latitude ``at``, across the date line too."""
+    d = np.abs(x - to[:, 0])
+    return np.hypot(KM_PER_DEGREE * np.minimum(d, 360.0 - d) * np.cos(np.radians(at)), KM_PER_DEGREE * (y - to[:, 1]))
 
 
-def _km(a: str, b: str) -> Column:
-    """Distance across the date line too."""
-    d = F.abs(F.col(f"{a}.lon") - F.col(f"{b}.lon"))
-    return plane_km(F.col(f"{a}.lat"), F.least(d, 360.0 - d), F.col(f"{b}.lat"), F.lit(0.0))
-
-
-def near_pairs(points: DataFrame, id_col: str, lat_col: str, lon_col: str, km: float) -> DataFrame:
+def near_pairs(points: DataFrame, id_col: str, lat_col: str, lon_col: str, km: float, tile_points: int = TILE_POINTS, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """``(id, other)`` with ``id < other``: all pairs of different points within ``km`` of each other.
 
-    Points without both coordinates are left out; a repeated id counts once. Every point searches its own
-    latitude and the half box above it.
+    Points without both coordinates are left out; a repeated id counts once. Every point's disc reaches from its own
+    latitude up, so that each pair is met once.
     """
     pts = _places(points, id_col, lat_col, lon_col)
-    cell_km = 2 * km  # small cells: few candidates where points are crowded
-    band, cell = _cell_columns(F.col("lat"), F.col("lon"), cell_km)
-    targets = pts.withColumn("band", band).withColumn("cell", cell).alias("b")
-    queries = _search_cells(pts, "lat", "lon", km, cell_km, upward=True).alias("a")
-    above = (F.col("b.lat") > F.col("a.lat")) | ((F.col("b.lat") == F.col("a.lat")) & (F.col("a.id") < F.col("b.id")))
-    pairs = queries.join(targets, (F.col("a.band") == F.col("b.band")) & (F.col("a.cell") == F.col("b.cell")) & above).where(_km("a", "b") < km)
-    return pairs.select(F.least("a.id", "b.id").alias("id"), F.greatest("a.id", "b.id").alias("other"))
+
+    def exact(ids: np.ndarray, x: np.ndarray, y: np.ndarray, other: np.ndarray, place: np.ndarray) -> np.ndarray:
+        above = (y > place[:, 1]) | ((y == place[:, 1]) & (other < ids))
+        return above & (_km(x, y, place, y) < km)
+
+    found = _meet(pts, _discs(pts, km, upward=True), exact, max(0.5, 4 * km / KM_PER_DEGREE), tile_points, block_pairs)
+    return found.select(F.least("id", "region").alias("id"), F.greatest("id", "region").alias("other"))
 
 
 def near_sites(points: DataFrame, id_col: str, lat_col: str, lon_col: str, sites: DataFrame, site_col: str, site_lat: str, site_lon: str, km: float) -> DataFrame:
     """``(id, site)``: the sites within ``km`` of every point. Nulls and repeats as in ``near_pairs``."""
-    pts = _places(points, id_col, lat_col, lon_col)
-    band, cell = _cell_columns(F.col("lat"), F.col("lon"), km)
-    queries = _search_cells(_places(sites, site_col, site_lat, site_lon), "lat", "lon", km, km)
-    found = pts.withColumn("band", band).withColumn("cell", cell).alias("a").join(queries.alias("b"), ["band", "cell"]).where(_km("a", "b") < km)
-    return found.select(F.col("a.id").alias("id"), F.col("b.id").alias("site"))
+    discs = _discs(_places(sites, site_col, site_lat, site_lon), km)
+    exact = lambda _id, x, y, _site, place: _km(x, y, place, place[:, 1]) < km
+    return _meet(_places(points, id_col, lat_col, lon_col), discs, exact, max(0.5, 4 * km / KM_PER_DEGREE)).withColumnRenamed("region", "site")
