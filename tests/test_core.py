@@ -19,12 +19,12 @@ from tremorline.operators import ordered, ranking
 from tremorline.operators.greedy import cluster_detections, gap_selection, refractory
 from tremorline.operators.grid import Grid, padded_cells
 from tremorline.operators.relocate import RelocationOptions, relocate, relocate_all
-from tremorline.operators.waveforms import MatchOptions, cut_template, cut_templates, match, pick_by_template, pick_station, pick_waveforms
-from tremorline.plans import associate, registry, waveform_queries
-from tremorline.plans.waveform_queries import FS, wavelets
-from tremorline.session import cut, join_hot
+from tremorline.operators.waveforms import MatchOptions, PickOptions, ShearSearch, cut_template, cut_templates, detect, expand_peaks, match, pick_by_template, pick_station, pick_waveforms, stack_at_origin
+from tremorline.plans import associate, registry
+from tremorline.session import cut, join_hot, small_side
 from tremorline.sources import lines, waveforms
 from tremorline.streaming.picks import pick_islands
+from waves import FS, wavelets
 
 ROOT = Path(__file__).parents[1]
 
@@ -101,8 +101,7 @@ def test_runs_and_turning_points(table):
                 if i - a >= 2:
                     want.append((k, a + 1, i, x[a], i - a))
                 a = i
-        found = [i for i in range(2, len(x)) if (x[i] - x[i - 1]) * (x[i - 1] - x[i - 2]) < 0]
-        turns[k] = (found[0], found[1])
+        turns[k] = tuple(signal.turning_index(np.array(x), which) + 1 for which in (1, 2))
     assert got == sorted(want)
     assert {r.k: (r.first_turn, r.second_turn) for r in ordered.turning_points(pos, ["k"], "x").collect()} == turns
 
@@ -234,6 +233,15 @@ def test_file_readers(spark, tmp_path):
     assert got == [f"line {i}" for i in range(50)]
 
 
+def test_gain_of_waveforms(spark):
+    day = lambda n: dt.datetime(2020, 1, n)
+    start = int(dt.datetime(2020, 1, 5, tzinfo=dt.timezone.utc).timestamp() * 1e6)
+    waves = spark.createDataFrame([("A.B", "20200105", c, start, 1.0, [6.0, 12.0]) for c in range(3)] + [("X.Y", "20200105", 0, start, 1.0, [6.0])], waveforms.WAVES)
+    epochs = spark.createDataFrame([(1, "a.b ", 1.0, 1.0, 1.0, day(1), day(3)), (2, "A.B", 2.0, 3.0, None, day(3), None)], "epoch_id bigint, net_sta string, ge double, gn double, gz double, t0 timestamp, t1 timestamp")
+    got = {(r.sta, r.chn): r.data for r in waveforms.apply_gain(waves, epochs).collect()}
+    assert got == {("A.B", 0): [3.0, 6.0], ("A.B", 1): [2.0, 4.0], ("A.B", 2): [6.0, 12.0], ("X.Y", 0): [6.0]}
+
+
 def test_line_order_over_splits(spark, tmp_path):
     (tmp_path / "big.txt").write_text("".join(f"{i}\n" for i in range(4000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
@@ -332,14 +340,49 @@ def test_matched_filter_finds_copies(spark):
         assert [(r.evid, r.tp, r.ts, len(r.data), len(r.data[0])) for r in cuts] == [(1, 500, 650, 3, 1500)]
 
 
-def test_stretches_hold_late_s(spark, monkeypatch):
-    rows = [(1, "A.A", 100_000_000, 140_500_000), (1, "A.B", 100_000_000, 105_000_000), (2, "A.A", 300_000_000, 322_000_000)]
-    arrivals = spark.createDataFrame(rows, "det_id bigint, sta string, tp bigint, ts bigint")
-    monkeypatch.setattr(waveform_queries, "detection_arrivals", lambda *_: arrivals)
-    got = {(r.det_id, r.sta): len(r.data[0]) for r in waveform_queries.snippets(spark, "").collect()}
-    assert got == {(1, "A.A"): 68 * FS, (1, "A.B"): 68 * FS, (2, "A.A"): 50 * FS}
-    picked = {(r.det_id, r.sta) for r in waveform_queries.o50_waveform_picks(spark, "").where("abs(off_s) < 0.2").collect()}
-    assert picked == set(got)
+def test_match_helpers():
+    o = MatchOptions(fs=10.0, expand_s=1.0, gap_s=2.0, trigger=0.5)
+    cc = np.zeros(200)
+    cc[[20, 24, 90, 91, 92, 199]] = [0.6, 0.9, 0.7, 0.7, 0.7, 0.8]
+    wide = expand_peaks(cc, o)
+    assert np.flatnonzero(wide == 0.9).tolist() == list(range(19, 29)) and wide[85:95].tolist() == [0.7] * 10 and wide[194:].tolist() == [0.8] * 6
+    assert detect(cc, o) == [(24.0, 0.9), (91.0, 0.7), (199.0, 0.8)] and detect(np.zeros(9), o) == []
+    stacked = stack_at_origin([(-2, np.arange(6.0)), (3, np.ones(6))], 5)
+    assert stacked.tolist() == [1.0, 1.5, 2.0, 3.0, 0.5]
+
+
+def test_shear_estimators():
+    """The search ends behind the strongest shear, its onset lies between the bounds, and settling goes back."""
+    tp, ts, n = int(20 * FS), int(26 * FS), int(60 * FS)
+    data = signal.prepare(wavelets(3, "A.B", tp, ts, n).astype("f8"), FS)
+    search = ShearSearch(data, tp, PickOptions(), FS)
+    end = search.strongest()
+    assert ts < end < ts + 2 * FS
+    refined, plain = search.arrival()
+    assert refined <= plain and abs(plain - ts) < FS
+    assert search.settled(plain - 100, plain, end) <= plain
+    assert search.by_ratio(tp, tp) == 0  # nothing to search
+
+
+def test_turning_points_as_defined():
+    def slow(x, which):
+        d = [b - a for a, b in zip(x, x[1:])]
+        if not d or min(d) >= 0 or max(d) <= 0:
+            return 0
+        down, up = ([i for i, v in enumerate(d) if (v < 0) == want] for want in (True, False))
+        first = max(down[0], up[0])
+        later = [[i for i in part if i > first] for part in (down, up)]
+        return first if which == 1 or not all(later) else max(p[0] for p in later)
+
+    rng = random.Random(1)
+    for _ in range(500):
+        x = [rng.choice([0, 1, 2]) for _ in range(rng.randrange(0, 9))]
+        assert [signal.turning_index(np.array(x, "f8"), k) for k in (1, 2)] == [slow(x, k) for k in (1, 2)], x
+
+
+def test_trim_pad():
+    x = np.arange(1, 5)
+    assert signal.trim_pad(x, -2, 4).tolist() == [0, 0, 1, 2] and signal.trim_pad(x, 2, 4).tolist() == [3, 4, 0, 0] and signal.trim_pad(x, 9, 2).tolist() == [0, 0]
 
 
 def test_all_template_days(spark, tmp_path):

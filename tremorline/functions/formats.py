@@ -72,6 +72,20 @@ def read_blocks(lines: DataFrame, is_head: Column | None = None, block: int = 1
     return body.unionByName(heads.join(full, ["file", "at"], "left_anti")).drop("at")
 
 
+def event_lines(events: DataFrame, phases: DataFrame) -> DataFrame:
+    """``event, ord, line``: per event (by its time and place) its catalogue line, then a line ``net_sta,tp,ts,s_amp`` per phase.
+
+    ``events (ot, lat, lon, dep, mag)``, ``phases (ot, lat, lon, dep, sta, tp, ts, s_amp)`` with the event's own time and place. A missing number
+    is written as -1.
+    """
+    event = F.concat_ws("_", compact_time(F.col("ot")), F.format_string("%.4f", "lat"), F.format_string("%.4f", "lon"), F.format_string("%.1f", "dep")).alias("event")
+    head = catalog_line(F.col("ot"), F.col("lat"), F.col("lon"), F.col("dep"), F.coalesce("mag", F.lit(-1.0)))
+    time = lambda c: F.coalesce(iso_time(F.col(c)), F.lit("-1"))
+    amp = F.when(F.col("s_amp").isNull(), "-1").otherwise(F.col("s_amp").cast("string"))
+    body = phases.select(event, F.concat_ws(",", "sta", "tp").alias("ord"), F.concat_ws(",", "sta", time("tp"), time("ts"), amp).alias("line"))
+    return events.select(event, F.lit("").alias("ord"), head.alias("line")).unionByName(body)
+
+
 def _hms(us: Column) -> Column:
     return F.date_format(F.timestamp_micros(us), "HHmmssSS")
 

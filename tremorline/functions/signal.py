@@ -63,12 +63,29 @@ def pca_filter(data: np.ndarray, tp: int, reach: tuple[int, int], n: int) -> np.
 
 
 def turning_index(x: np.ndarray, which: int) -> int:
-    """Index of the first (1) or second (2) turning point of a series; 0 if there is none."""
-    if len(x) < 2:
+    """Index of the first (1) or second (2) turning point of a series; 0 for a series that never falls or never rises.
+
+    The first is the first step whose direction (down, or not) differs from that of step 0. The second is where, after the first,
+    both directions have been seen; where they never are, it is the first.
+    """
+    step = np.diff(x)
+    if not (step < 0).any() or not (step > 0).any():
         return 0
-    up = np.diff(x) >= 0
-    turns = np.flatnonzero(up[1:] != up[:-1]) + 1
-    return int(turns[which - 1]) if len(turns) >= which else 0
+    down = step < 0
+    first = int(np.argmax(down != down[0]))
+    later = down[first + 1 :]
+    if which == 1 or later.all() or not later.any():
+        return first
+    return first + 1 + int(np.argmax(later != later[0]))
+
+
+def trim_pad(x: np.ndarray, first: int, n: int) -> np.ndarray:
+    """``n`` samples from sample ``first`` on (which may lie before the start); samples that the series does not have are 0."""
+    out = np.zeros(n, x.dtype)
+    lo, hi = max(0, first), min(len(x), first + n)
+    if lo < hi:
+        out[lo - first : hi - first] = x[lo:hi]
+    return out
 
 
 def displacement_amplitude(velocity: np.ndarray, fs: float) -> float:

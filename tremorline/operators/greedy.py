@@ -54,18 +54,22 @@ def clusters(pdf: pd.DataFrame, within: int, most: int) -> pd.DataFrame:
         member = np.sort(order[lo:hi])
         member = member[left[member]]
         left[member] = False
-        self_det = member[own[member]]
-        if len(self_det):
-            event = self_det[np.argmax(n_picks[self_det])]
-            links = np.setdiff1d(member, self_det)
-        else:
-            event = member[np.argmax(cc[member])]
-            links = member
-        if len(links):
-            least = np.sort(cc[links])[::-1][:most][-1]
-            links = links[cc[links] >= least]
-        out.append((int(ids[seed]), int(ids[event]), bool(len(self_det)), len(member), len(links), float(ot[event])))
-    return pd.DataFrame(out, columns=["seed", "event", "is_self", "members", "links", "ot"]).astype({"ot": "i8"})
+        mine = own[member]
+        event = member[np.argmax(np.where(mine, n_picks[member], -1))] if mine.any() else member[np.argmax(cc[member])]
+        link = member[~mine] if mine.any() else member
+        if len(link) > most:  # the cap, ties with its last one kept
+            link = link[cc[link] >= np.partition(cc[link], -most)[-most]]
+        out.append((int(ids[seed]), int(ids[event]), bool(mine.any()), len(member), len(link), int(ot[event]), ids[link].tolist()))
+    return pd.DataFrame(out, columns=["seed", "event", "is_self", "members", "links", "ot", "linked"])
+
+
+CLUSTER = "seed bigint, event bigint, is_self boolean, members int, links int, ot bigint, linked array<bigint>"
+
+
+def linked_clusters(dets: DataFrame, within: int, most_links: int = 30) -> DataFrame:
+    """As ``cluster_detections``, with the detections that each cluster keeps as links (``linked``)."""
+    rows = time_islands(dets.where("ot is not null"), [], "ot", "det_id", within).withColumn("_part", F.floor(F.col("island") / (MONTH // 30)))
+    return rows.groupBy("_part").applyInPandas(lambda pdf: clusters(pdf, within, most_links), CLUSTER)
 
 
 def cluster_detections(dets: DataFrame, within: int, most_links: int = 30) -> DataFrame:
@@ -75,5 +79,4 @@ def cluster_detections(dets: DataFrame, within: int, most_links: int = 30) -> Da
     own template's time is a self detection: the one with most picks is the event and none of them is a link; else
     the one with the greatest ``cc`` is. Links keep the ``most_links``-th greatest ``cc`` and its ties.
     """
-    rows = time_islands(dets.where("ot is not null"), [], "ot", "det_id", within).withColumn("_part", F.floor(F.col("island") / (MONTH // 30)))
-    return rows.groupBy("_part").applyInPandas(lambda pdf: clusters(pdf, within, most_links), "seed bigint, event bigint, is_self boolean, members int, links int, ot bigint")
+    return linked_clusters(dets, within, most_links).drop("linked")

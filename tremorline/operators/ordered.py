@@ -111,11 +111,17 @@ def runs(df: DataFrame, keys: Sequence[str], value: str, least: int, block: int
 
 
 def turning_points(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Per key ``first_turn`` and ``second_turn``: the positions where the sign of the step changes; 0 where there is none. Needs ``pos``."""
-    parts = in_blocks(df, "pos", 100_000, 2, 0)
+    """Per key ``first_turn`` and ``second_turn`` as in ``signal.turning_index``, as positions (from 1); 0 where there is none. Needs ``pos``."""
+    parts = in_blocks(df, "pos", 100_000, 1, 0)
     line = Window.partitionBy(*keys, "block").orderBy("pos")
-    step = F.signum(F.col(value) - F.lag(value).over(line))
-    parts = parts.withColumn("_s", step).withColumn("_turn", F.col("_s") * F.lag("_s").over(line) < 0).where("home")
-    turns = parts.groupBy(*keys).agg(F.min(F.when(F.col("_turn"), F.col("pos") - 1)).alias("first_turn"))
-    later = parts.join(turns, list(keys)).where(F.col("_turn") & (F.col("pos") - 1 > F.col("first_turn"))).groupBy(*keys).agg(F.min(F.col("pos") - 1).alias("second_turn"))
-    return turns.join(later, list(keys), "left").na.fill(0, ["first_turn", "second_turn"])
+    parts = parts.withColumn("_step", F.col(value) - F.lag(value).over(line)).where("home")
+    spot, down = F.col("pos") - 1, F.col("_step") < 0
+    seen = lambda when: F.greatest(F.min(F.when(when & down, spot)), F.min(F.when(when & ~down, spot)))
+    both = F.min(F.when(down, 1)).isNotNull() & F.min(F.when(F.col("_step") > 0, 1)).isNotNull()
+    # greatest skips nulls: with both directions there, it is the later of their first steps
+    firsts = parts.groupBy(*keys).agg(F.when(both, seen(F.lit(True))).alias("first_turn"))
+    later = parts.join(firsts, list(keys)).where(spot > F.col("first_turn"))
+    two = F.min(F.when(down, 1)).isNotNull() & F.min(F.when(~down, 1)).isNotNull()
+    later = later.groupBy(*keys).agg(F.when(two, seen(F.lit(True))).alias("second_turn"))
+    out = firsts.join(later, list(keys), "left")
+    return out.select(*keys, F.coalesce("first_turn", F.lit(0)).alias("first_turn"), F.coalesce("second_turn", "first_turn", F.lit(0)).alias("second_turn"))

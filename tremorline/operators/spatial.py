@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremorline.functions.geo import KM_PER_DEGREE, east
+from tremorline.operators.ranking import top_k
 from tremorline.session import cut, small_side
 
 
@@ -141,14 +142,16 @@ def triangles(regions: DataFrame, id_col: str, x_col: str, y_col: str) -> DataFr
 TILE_POINTS, BLOCK_PAIRS = 20_000, 16_000_000
 
 
-def _meet(points: DataFrame, shapes: DataFrame, exact: Callable, tile: float = 0.5, tile_points: int = TILE_POINTS, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
+def _meet(points: DataFrame, shapes: DataFrame, exact: Callable, tile: float = 0.5, tile_points: int = TILE_POINTS, block_pairs: int = BLOCK_PAIRS, best: int = 0) -> DataFrame:
     """``(id, region)`` of ``points (id, x, y)`` and ``shapes (region, x0, y0, x1, y1, shape)`` that pass ``exact(id, x, y, region, shape)``.
 
-    A point lies in one tile, a shape in all that its box touches. Repeated points and shapes give a pair once.
+    With ``best``, points also have ``z``, ``exact(id, x, y, z, region, shape)`` gives distances (NaN: too far), and only the nearest ``best`` points of
+    each shape within a task are kept, with ``km``. A point lies in one tile, a shape in all that its box touches. Repeated points and shapes give a pair once.
     """
     kinds = {"id": dict(points.dtypes)["id"], "region": dict(shapes.dtypes)["region"]}
     floor = lambda c: F.floor(c).cast("bigint")
-    pts = points.select("id", "x", "y", floor(F.col("x") / tile).alias("i"), floor(F.col("y") / tile).alias("j"))
+    own = ["id", "x", "y", "z"] if best else ["id", "x", "y"]
+    pts = points.select(*own, floor(F.col("x") / tile).alias("i"), floor(F.col("y") / tile).alias("j"))
     span = lambda lo, hi: F.explode(F.sequence(floor(F.col(lo) / tile), floor(F.col(hi) / tile)))
     shp = shapes.withColumn("i", span("x0", "x1")).withColumn("j", span("y0", "y1"))
     crowded = pts.groupBy("i", "j").agg(F.count("*").alias("n")).where(F.col("n") > tile_points)
@@ -157,7 +160,7 @@ def _meet(points: DataFrame, shapes: DataFrame, exact: Callable, tile: float = 0
         crowded = small_side(crowded, "crowded")
         part = lambda c, own: F.least(F.greatest(floor((F.col(c) / tile - F.col(own)) * F.col("parts")), F.lit(0)), F.col("parts") - 1)
         pts = pts.join(crowded, ["i", "j"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        pts = pts.select("id", "x", "y", "i", "j", part("x", "i").alias("fi"), part("y", "j").alias("fj"))
+        pts = pts.select(*own, "i", "j", part("x", "i").alias("fi"), part("y", "j").alias("fj"))
         shp = shp.join(crowded, ["i", "j"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         shp = shp.withColumn("fi", F.explode(F.sequence(part("x0", "i"), part("x1", "i")))).withColumn("fj", F.explode(F.sequence(part("y0", "j"), part("y1", "j")))).drop("parts")
         key = ["i", "j", "fi", "fj"]
@@ -177,16 +180,21 @@ def _meet(points: DataFrame, shapes: DataFrame, exact: Callable, tile: float = 0
         key = [*key, "p", "s"]
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left[["id", "x", "y"]], right[["region", "x0", "y0", "x1", "y1", "shape"]]
+        left, right = left[own], right[["region", "x0", "y0", "x1", "y1", "shape"]]
         if left.empty or right.empty:
-            return pd.DataFrame({"id": left["id"].iloc[:0], "region": right["region"].iloc[:0]})
+            none = pd.DataFrame({"id": left["id"].iloc[:0], "region": right["region"].iloc[:0]})
+            return none.assign(km=0.0) if best else none
         x, y, ids, regions = left["x"].to_numpy(), left["y"].to_numpy(), left["id"].to_numpy(), right["region"].to_numpy()
         p, s = BoxTree(right[["x0", "y0", "x1", "y1"]].to_numpy()).candidates(x, y)
         shape = np.stack(right["shape"].to_list())
+        if best:
+            km = exact(ids[p], x[p], y[p], left["z"].to_numpy()[p], regions[s], shape[s])
+            near = pd.DataFrame({"id": ids[p], "region": regions[s], "km": km}).dropna().drop_duplicates().sort_values(["region", "km", "id"], kind="stable")
+            return near.groupby("region", sort=False).head(best)
         hit = exact(ids[p], x[p], y[p], regions[s], shape[s])
         return pd.DataFrame({"id": ids[p[hit]], "region": regions[s[hit]]}).drop_duplicates()
 
-    return pts.groupBy(key).cogroup(shp.groupBy(key)).applyInPandas(kernel, f"id {kinds['id']}, region {kinds['region']}")
+    return pts.groupBy(key).cogroup(shp.groupBy(key)).applyInPandas(kernel, f"id {kinds['id']}, region {kinds['region']}" + (", km double" if best else ""))
 
 
 def regions_of(points: DataFrame, id_col: str, lat_col: str, lon_col: str, tri: DataFrame, tile: float = 0.5, tile_points: int = TILE_POINTS) -> DataFrame:
@@ -245,6 +253,26 @@ def near_pairs(points: DataFrame, id_col: str, lat_col: str, lon_col: str, km: f
     return found.select(F.least("id", "region").alias("id"), F.greatest("id", "region").alias("other"))
 
 
+def nearest(points: DataFrame, id_col: str, lat_col: str, lon_col: str, dep_col: str, km: float, k: int, tile_points: int = TILE_POINTS, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
+    """``(id, other, km, rank)``: the ``k`` nearest other points within ``km`` of each, by distance in space (six decimals), then id.
+
+    Points need both coordinates and a depth in km. A task keeps no more than ``k`` of a point's neighbours, so a crowded place costs time, not room.
+    """
+    rows = points.select(F.col(id_col).alias("id"), F.col(lat_col).cast("double").alias("y"), east(F.col(lon_col).cast("double")).alias("x"), F.col(dep_col).cast("double").alias("z"))
+    rows = rows.where("id is not null and y between -90 and 90 and x between -180 and 180 and abs(z) < 1e9")
+    discs = _discs(rows, km)
+    # the searching point is the disc, so its depth goes with it; the depth of the met point goes with its id
+    discs = discs.join(rows.select(F.col("id").alias("region"), F.col("z")).dropDuplicates(["region"]), "region").withColumn("shape", F.concat("shape", F.array("z"))).drop("z")
+
+    def closest(ids: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray, other: np.ndarray, place: np.ndarray) -> np.ndarray:
+        # the plane of the event with the smaller id, so that both directions agree
+        d = np.hypot(_km(x, y, place, np.where(ids < other, y, place[:, 1])), z - place[:, 2])
+        return np.where((ids != other) & (d < km), np.round(d, 6), np.nan)
+
+    found = _meet(rows, discs, closest, max(0.5, 4 * km / KM_PER_DEGREE), tile_points, block_pairs, best=k)
+    return top_k(found.select(F.col("region").alias("id"), F.col("id").alias("other"), "km"), ["id"], [F.col("km"), F.col("other")], k)
+
+
 def near_sites(points: DataFrame, id_col: str, lat_col: str, lon_col: str, sites: DataFrame, site_col: str, site_lat: str, site_lon: str, km: float) -> DataFrame:
     """``(id, site)``: the sites within ``km`` of every point. Nulls and repeats as in ``near_pairs``."""
     discs = _discs(_places(sites, site_col, site_lat, site_lon), km)

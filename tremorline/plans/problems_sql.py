@@ -62,6 +62,14 @@ SELECT line_no, reason FROM (
   SELECT line_no, CASE WHEN NOT quoted THEN 'quoting' WHEN n NOT IN (5, 7, 9) THEN 'columns' WHEN NOT coalesce({_GOOD}, false) THEN 'value' END AS reason FROM w
 ) WHERE reason IS NOT NULL"""
 
+# The prefix of whole fields that keep the rule of quotes; the first field behind it is broken. Then the first field whose value is wrong.
+_FIELD = r"""(?:[^",]*|[ \t\r]*"(?:[^"]|"")*"[ \t\r]*),"""
+P4_BROKEN = f"""{_LINES}
+SELECT line_no, reason, CASE reason WHEN 'quoting' THEN len(regexp_extract_all(regexp_extract(line || ',', '^(?:{_FIELD})*'), '{_FIELD}')) + 1 WHEN 'columns' THEN least(n, 9) + 1
+  WHEN 'value' THEN CASE WHEN NOT regexp_full_match(c[1], '[A-Za-z0-9]+\\.[A-Za-z0-9]+') THEN 1 WHEN NOT coalesce(abs(d[2]) <= 90, false) THEN 2 WHEN NOT coalesce(abs(d[3]) <= 180, false) THEN 3
+    WHEN d[4] IS NULL THEN 4 WHEN NOT coalesce(d[5] > 0, false) THEN 5 WHEN NOT coalesce(d[6] > 0, false) THEN 6 WHEN NOT coalesce(d[7] > 0, false) THEN 7 WHEN days[8] IS NULL THEN 8 ELSE 9 END END::int AS broken
+FROM (SELECT w.*, s.line, CASE WHEN NOT quoted THEN 'quoting' WHEN n NOT IN (5, 7, 9) THEN 'columns' WHEN NOT coalesce({_GOOD}, false) THEN 'value' END AS reason FROM w JOIN station_lines s USING (line_no)) WHERE reason IS NOT NULL"""
+
 P4_ROWS = f"""{_LINES}
 SELECT s.line_no, s.file_name, upper(c[1]) AS net_sta, d[2] AS lat, d[3] AS lon, d[4] AS ele_m, d[5] AS ge,
   CASE WHEN n = 5 THEN d[5] ELSE d[6] END AS gn, CASE WHEN n = 5 THEN d[5] ELSE d[7] END AS gz,
@@ -90,4 +98,4 @@ GROUP BY event_id, zone_id HAVING count(*) % 2 = 1"""
 O05_GAIN_EPOCHS = P4_ROWS.replace("SELECT s.line_no, s.file_name, upper", "SELECT DISTINCT upper")
 O83_FIRST_STATION = f"SELECT net_sta, line_no, lat, lon FROM (SELECT *, row_number() OVER (PARTITION BY net_sta ORDER BY line_no) AS r FROM ({P4_ROWS})) WHERE r = 1"
 
-ORACLES = {"o05_gain_epochs": O05_GAIN_EPOCHS, "o83_first_station": O83_FIRST_STATION, "p1_found": P1_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_rows": P4_ROWS, "p5_found": P5_FOUND}
+ORACLES = {"o05_gain_epochs": O05_GAIN_EPOCHS, "o83_first_station": O83_FIRST_STATION, "p1_found": P1_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_broken": P4_BROKEN, "p4_rows": P4_ROWS, "p5_found": P5_FOUND}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tremorline.plans import associate, problems, problems_sql, relational, relational_sql, waveform_queries
+from tremorline.plans import associate, linking, linking_sql, problems, problems_sql, relational, relational_sql, waveform_queries
 
 FLAGSHIP = "o54_associate"
-QUERIES = {**relational.QUERIES, **associate.QUERIES, **waveform_queries.QUERIES, **problems.QUERIES}
-ORACLES = {**relational_sql.ORACLES, **problems_sql.ORACLES}
+QUERIES = {**relational.QUERIES, **associate.QUERIES, **linking.QUERIES, **waveform_queries.QUERIES, **problems.QUERIES}
+ORACLES = {**relational_sql.ORACLES, **problems_sql.ORACLES, **linking_sql.ORACLES}

@@ -13,17 +13,23 @@ from tremorline.operators.greedy import cluster_detections, gap_selection
 from tremorline.operators.grid import Grid, padded_cells
 from tremorline.operators.rejects import station_table
 from tremorline.operators.relocate import relocate_all
-from tremorline.operators.spatial import near_pairs
+from tremorline.operators.spatial import nearest
 from tremorline.plans import tables
-from tremorline.session import load
+from tremorline.plans.associate import detection_arrivals
+from tremorline.session import join_hot, load
 
 SECOND = 1_000_000
 AREA = Grid(lon_min=-42.0, lat_min=48.0, dx=1.0, dy=1.0, nx=4, ny=4, pad=0.1)
 
 
+def _finite(c: str) -> Column:
+    return F.when(F.abs(F.col(c)) < float("inf"), F.col(c))
+
+
 def _numbered(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
-    """Picks with a station, a time and ``value``, numbered per station by time."""
-    rows = tables.picks(spark, sf_dir).where(F.col("sta").isNotNull() & F.col("tp").isNotNull() & F.col(value).isNotNull() & ~F.isnan(value))
+    """Picks with a station and a time, numbered per station by time; a sample that is missing or not finite is 0, as in waveforms."""
+    rows = tables.picks(spark, sf_dir).where(F.col("sta").isNotNull() & F.col("tp").isNotNull())
+    rows = rows.select("pick_id", "sta", "tp", F.coalesce(_finite(value), F.lit(0.0)).alias(value))
     return ordered.positions(rows, ["sta"], "tp", "pick_id")
 
 
@@ -58,21 +64,15 @@ def o56_event_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("det_id", F.round("median", 6).alias("mag"), "n")
 
 
-def o36_rounded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.catalog(spark, sf_dir).where("dep is not null and abs(mag) < 1000")
-    return rows.select("event_id", F.bround("dep", 0).alias("dep"))
-
-
-def _finite(c: str) -> Column:
-    return F.when(F.abs(F.col(c)) < float("inf"), F.col(c))
-
-
 def o36_rounded_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event with its five rounded columns; a missing or infinite value is null."""
     digits = {"lon": 2, "lat": 2, "dep": 0, "res": 1, "mag": 2}
     return tables.catalog(spark, sf_dir).select("event_id", *[F.bround(_finite(c), n).alias(c) for c, n in digits.items()])
 
 
+o36_rounded_events = o36_rounded_columns
+
+
 def o34_event_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.catalog(spark, sf_dir).where("ot is not null").select("event_id", formats.compact_time(F.col("ot")).alias("name"))
 
@@ -101,7 +101,8 @@ def o39_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o41_flat_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.runs(_numbered(spark, sf_dir, "fd"), ["sta"], "fd", 3)
+    """Three or more steps of zero, which are four or more equal samples."""
+    return ordered.runs(_numbered(spark, sf_dir, "s_amp"), ["sta"], "s_amp", 4)
 
 
 def o43_sta_lta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +126,8 @@ def o47e_rolling_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o48_nearest_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = ranking.top_k(_magnitudes(spark, sf_dir), ["det_id"], [F.col("km"), F.col("sta")], 4)
+    """The fifteen stations of each detection with the earliest P."""
+    got = ranking.top_k(detection_arrivals(spark, sf_dir), ["det_id"], [F.col("tp"), F.col("sta")], 15)
     return got.select("det_id", "sta", "rank")
 
 
@@ -159,15 +161,6 @@ def o59_enough_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.groupBy("det_id").agg(F.count("*").alias("stations")).where("stations >= 4")
 
 
-def o60_template_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every template with every day from its own first detection on to the last day of all (keys only)."""
-    dets = tables.detections(spark, sf_dir).where("temp_id is not null and ot is not null")
-    day = F.to_date(F.timestamp_micros("ot"))
-    until = dets.agg(F.max(day)).first()[0]
-    first = dets.groupBy("temp_id").agg(F.min(day).alias("first"))
-    return first.select("temp_id", F.explode(F.sequence("first", F.lit(until).cast("date"))).alias("day")).select("temp_id", F.col("day").cast("string").alias("day"))
-
-
 def o60_all_template_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every template with every day from the first detection of all to the last (keys only)."""
     dets = tables.detections(spark, sf_dir).where("ot is not null")
@@ -178,16 +171,26 @@ def o60_all_template_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temps.select("temp_id", F.explode(days).alias("day")).select("temp_id", F.col("day").cast("string").alias("day"))
 
 
-def o70_detection_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections of one shock, each cluster seeded by the first remaining one (O-70, O-71)."""
+o60_template_days = o60_all_template_days
+
+
+def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the clusters are made of: detections of known templates, with the template's time."""
     dets = tables.detections(spark, sf_dir).where("cc >= 0.2 and temp_id is not null")
     temps = tables.catalog(spark, sf_dir).select(F.col("event_id").cast("string").alias("temp_id"), F.col("ot").alias("temp_ot"))
-    return cluster_detections(dets.join(temps, "temp_id").select("det_id", "temp_id", "ot", "cc", "temp_ot", F.size("picks").alias("n_picks")), 2 * SECOND)
+    return dets.join(temps, "temp_id").select("det_id", "temp_id", "ot", "cc", "temp_ot", F.size("picks").alias("n_picks"))
+
+
+def o70_detection_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of one shock, each cluster seeded by the first remaining one (O-70, O-71)."""
+    return cluster_detections(clustered(spark, sf_dir), 2 * SECOND)
 
 
 def o72_neighbour_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of clusters with two or more detections the thirty with the greatest correlation, and ties."""
     rows = tables.detections(spark, sf_dir).where("cc is not null and clu_id is not null")
-    return ranking.cap_with_ties(rows, ["clu_id"], [F.col("cc").desc()], 5).select("clu_id", "det_id", "cc", "rank")
+    many = rows.groupBy("clu_id").agg(F.count("*").alias("n")).where("n >= 2").select("clu_id")
+    return ranking.cap_with_ties(join_hot(rows, many, "clu_id"), ["clu_id"], [F.col("cc").desc()], 30).select("clu_id", "det_id", "cc", "rank")
 
 
 def o73_mean_location(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,29 +228,19 @@ def o81_relocated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("event_id", *[F.round(c, 4).alias(c) for c in ("lat", "lon", "dep", "rms")], "links")
 
 
-def o79_best_solution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best solution of each network and day: least residual, then greatest magnitude, then id."""
-    rows = tables.catalog(spark, sf_dir).where("ot is not null and net is not null and res is not null and abs(mag) < 1000").withColumn("day", F.to_date(F.timestamp_micros("ot")).cast("string"))
-    return ranking.best_row(rows, ["net", "day"], [F.col("res"), -F.col("mag"), F.col("event_id")], ["event_id", "res"])
-
-
 def o79_best_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``o79_best_solution``, with solutions that have no finite magnitude, after the others of the same residual."""
+    """The best solution of each network and day: least residual, then greatest magnitude (one that is not finite last), then id."""
     rows = tables.catalog(spark, sf_dir).where("ot is not null and net is not null and res is not null").withColumn("day", F.to_date(F.timestamp_micros("ot")).cast("string"))
     order = [F.col("res"), _finite("mag").isNull(), -F.coalesce(_finite("mag"), F.lit(0.0)), F.col("event_id")]
     return ranking.best_row(rows, ["net", "day"], order, ["event_id", "res"])
 
 
+o79_best_solution = o79_best_of_all
+
+
 def o80_event_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest events within 2 km of each event, by hypocentral distance."""
-    events = tables.catalog(spark, sf_dir).where("dep is not null")
-    place = lambda a: events.select(F.col("event_id").alias(a), *[F.col(c).alias(f"{c}_{a}") for c in ("lat", "lon", "dep")])
-    pairs = near_pairs(events, "event_id", "lat", "lon", km=2.0).join(place("id"), "id").join(place("other"), "other")
-    dx, dy = 111.0 * (F.col("lon_id") - F.col("lon_other")) * F.cos(F.radians("lat_id")), 111.0 * (F.col("lat_id") - F.col("lat_other"))
-    dz = F.col("dep_id") - F.col("dep_other")
-    pairs = pairs.withColumn("km", F.round(F.sqrt(dx * dx + dy * dy + dz * dz), 6))
-    both = pairs.select("id", "other", "km").unionByName(pairs.select(F.col("other").alias("id"), F.col("id").alias("other"), "km"))
-    return ranking.top_k(both, ["id"], [F.col("km"), F.col("other")], 10).select("id", "other", "rank")
+    """The ten nearest events within 5 km (hypocentral) of each event."""
+    return nearest(tables.catalog(spark, sf_dir), "event_id", "lat", "lon", "dep", 5.0, 10).select("id", "other", "rank")
 
 
 def o83_first_station(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,11 +262,6 @@ def o85_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("segment").agg(F.count("*").alias("picks"), F.count_distinct("sta").alias("stations"))
 
 
-def o20_catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.catalog(spark, sf_dir).where("ot is not null and lat is not null and lon is not null and dep is not null and abs(mag) < 1000")
-    return rows.select("event_id", formats.catalog_line(F.col("ot"), F.col("lat"), F.col("lon"), F.col("dep"), F.col("mag")).alias("line"))
-
-
 def o20_all_catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every event with a time and a place; a magnitude that is missing or not finite is written as -1."""
     rows = tables.catalog(spark, sf_dir).where("ot is not null and lat is not null and lon is not null and dep is not null")
@@ -281,6 +269,9 @@ def o20_all_catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", formats.catalog_line(F.col("ot"), F.col("lat"), F.col("lon"), F.col("dep"), mag).alias("line"))
 
 
+o20_catalog_lines = o20_all_catalog_lines
+
+
 def o11_phase_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections written as header and phase lines and read back (O-09 to O-12, O-22)."""
     lines = formats.detection_lines(tables.detections(spark, sf_dir).where("ot is not null and lat is not null and lon is not null and dep is not null and cc is not null and temp_id is not null"))

@@ -1,75 +1,79 @@
-"""Queries of the array kernels. The test tables hold no waveforms, so Spark makes them from the arrivals of the detections:
-noise, and wavelets at P and S whose shape depends on the station, so that detections of one template resemble each other."""
+"""Queries of the array kernels on series that the test tables hold; they hold no waveforms.
 
-from __future__ import annotations
+``embeddings``: the vectors of a label one after another are a trace of three channels, each vector a third of its numbers per
+channel, and the first vector of the label is the template that is sought in it (O-62 to O-66). ``picks``: the picks of a
+station in order of time are samples of three channels, in which the picker seeks onsets (O-40, O-50).
+"""
 
-import zlib
+from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorline.operators.waveforms import MatchOptions, match_templates, pick_stretches, rank_stations
+from tremorline.operators import ordered
+from tremorline.operators.waveforms import MatchOptions, PickOptions, match_templates, pick_stretches
 from tremorline.plans import tables
-from tremorline.plans.associate import detection_arrivals
-from tremorline.session import spread
-
-FS = 50.0
-BEFORE_S, LENGTH_S, AFTER_S = 15.0, 50.0, 12.0  # LENGTH_S at least; AFTER_S remain after the last S of a detection
-WAVES = "det_id bigint, sta string, start_us bigint, samp_rate double, tp_us bigint, ts_us bigint, data array<array<float>>"
-
-
-def wavelets(det_id: int, sta: str, tp: float, ts: float, n: int) -> np.ndarray:
-    """``[3, n]`` samples with P at sample ``tp`` (vertical) and S at ``ts`` (horizontal)."""
-    noise = np.random.default_rng([det_id & 0xFFFFFFFF, zlib.crc32(sta.encode())]).normal(size=(3, n))
-    shape = np.random.default_rng(zlib.crc32(sta.encode()))
-    t = np.arange(n)
-    for at, channels, size, hz in ((tp, (2,), 30.0, 6.0), (ts, (0, 1), 60.0, 4.0)):
-        for k in channels:
-            freq, phase = hz * shape.uniform(0.8, 1.25), shape.uniform(0, 2 * np.pi)
-            d = np.maximum(t - at, 0) / FS
-            noise[k] += (t >= at) * size * np.exp(-1.5 * d) * np.sin(2 * np.pi * freq * d + phase)
-    return noise.astype("f4")
-
-
-def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One stretch of three channels around P for every detection and station, as long as the latest S of the detection needs."""
-    rows = detection_arrivals(spark, sf_dir).select("det_id", "sta", "tp", "ts")
-    latest = F.max((F.col("ts") - F.col("tp")) / 1e6).over(Window.partitionBy("det_id"))
-    rows = rows.withColumn("length_s", F.greatest(F.lit(LENGTH_S), F.floor(latest) + 1 + BEFORE_S + AFTER_S))
-
-    def kernel(batches):  # noqa: ANN001, ANN202
-        for pdf in batches:
-            for part in np.array_split(np.arange(len(pdf)), max(1, len(pdf) // 500)):
-                own = pdf.iloc[part]
-                start = own["tp"].to_numpy("i8") - int(BEFORE_S * 1e6)
-                data = [wavelets(d, s, BEFORE_S * FS, (b - a) / 1e6 * FS, int(n * FS)).tolist() for d, s, a, b, n in zip(own["det_id"], own["sta"], start, own["ts"], own["length_s"], strict=True)]
-                yield pd.DataFrame({"det_id": own["det_id"], "sta": own["sta"], "start_us": start, "samp_rate": FS, "tp_us": own["tp"], "ts_us": own["ts"], "data": pd.Series(data, index=own.index, dtype=object)})
-
-    return spread(rows, "det_id", "sta").mapInPandas(kernel, WAVES)
-
-
-def o50_waveform_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Picks of all made stretches, with how far P lies from where it was put (seconds)."""
-    waves = snippets(spark, sf_dir).withColumnRenamed("tp_us", "true_us")
-    got = pick_stretches(waves, ["det_id", "sta", "true_us"])
-    return got.select("det_id", "sta", F.round((F.col("tp_us") - F.col("true_us")) / 1e6, 2).alias("off_s"), F.round("p_snr", 1).alias("p_snr"), "good")
-
-
-def o62_matched_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every template (its first detection) matched with the stretches of its other detections; two stations are enough."""
-    temps = tables.detections(spark, sf_dir).where("temp_id is not null").select("det_id", "temp_id")
-    waves = snippets(spark, sf_dir).join(temps, "det_id")
-    first = temps.groupBy("temp_id").agg(F.min("det_id").alias("first"))
-    waves = waves.join(first, "temp_id")
-    sample = lambda us: F.round((F.col(us) - F.col("start_us")) / 1e6 * FS).cast("int")
-    own = waves.where("det_id = first").select("temp_id", "sta", sample("tp_us").alias("tp"), sample("ts_us").alias("ts"), sample("start_us").alias("ot"), "data")
-    parts = waves.where("det_id <> first").select("temp_id", F.col("det_id").alias("part"), "sta", "data")
-    traces = rank_stations(own, most=15, least=2).join(parts.select("temp_id", "part").distinct(), "temp_id")
-    parts = parts.select(*[F.col(c).alias(c) for c in parts.columns])  # new columns: both sides come from one table
-    got = match_templates(traces, parts, MatchOptions(min_sta=2))
-    return got.select("temp_id", F.col("part").alias("det_id"), F.round("ot_s", 2).alias("ot_s"), F.round("cc", 3).alias("cc"), "n_picks")
-
-
-QUERIES = {"o50_waveform_picks": o50_waveform_picks, "o62_matched_detections": o62_matched_detections}
+from tremorline.session import load
+
+#: Vectors of a label that make one stretch, and samples of a vector per channel.
+VECTORS, WIDTH = 200, 21
+#: Picks of a station that make one stretch, and samples per second that the picker is told.
+PICKS, RATE = 3_000, 50.0
+#: One vector is a second; a detection holds for a third of it.
+MATCH = MatchOptions(fs=float(WIDTH), det=(0.0, 1.0), p=(0.0, 1.0), s=(0.0, 1.0), search_p=(0.3, 0.3), search_s=(0.3, 0.3), trigger=0.3, expand_s=1 / 3, gap_s=0.5, min_sta=1, amp_win=(0.2, 0.8))
+
+
+def _joined(pdf: pd.DataFrame) -> list[list[float]]:
+    """Three channels of the vectors in order of their ids."""
+    rows = np.stack(pdf.sort_values("vec_id")["v"].to_list()).astype("f4")
+    return [rows[:, k * WIDTH : (k + 1) * WIDTH].ravel().tolist() for k in range(3)]
+
+
+def vector_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``label, part, sta, vec_id, data``: stretches of ``VECTORS`` vectors of a label, with the first one's id."""
+    vecs = load(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), F.col("embedding").alias("v"))
+    vecs = vecs.where(F.col("label").isNotNull() & (F.size("v") >= 3 * WIDTH))
+    rows = ordered.positions(vecs, ["label"], "vec_id", "label", bucket=100_000).withColumn("part", F.floor((F.col("pos") - 1) / VECTORS))
+
+    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"label": [key[0]], "part": [key[1]], "sta": ["v"], "vec_id": [int(pdf["vec_id"].min())], "data": [_joined(pdf)]})
+
+    return rows.select("label", "part", "vec_id", "v").groupBy("label", "part").applyInPandas(kernel, "label bigint, part bigint, sta string, vec_id bigint, data array<array<float>>")
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    waves = vector_traces(spark, sf_dir)
+    first = waves.where("part = 0").select("label", F.transform("data", lambda x: F.slice(x, 1, WIDTH)).alias("own"))
+    pairs = waves.join(first, "label").withColumn("temp_id", F.col("label").cast("string"))
+    traces = pairs.select("temp_id", "part", "sta", F.col("own").alias("data"), F.lit(0).alias("tp"), F.lit(0).alias("ts"), F.lit(0).alias("ot"))
+    parts = pairs.select(*[F.col(c).alias(c) for c in ("temp_id", "part", "sta", "data")])  # new columns: both sides come from one table
+    return match_templates(traces, parts, MATCH)
+
+
+def o62_matched_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the first vector of each label is found again in the label's trace: stretch, sample, correlation."""
+    got = _matches(spark, sf_dir)
+    return got.select(F.col("temp_id").cast("bigint").alias("label"), "part", F.round(F.col("ot_s") * WIDTH, 1).alias("sample"), F.round("cc", 4).alias("cc"))
+
+
+def o66_vector_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The picks of every match, by correlation around it (O-66)."""
+    got = _matches(spark, sf_dir).select(F.col("temp_id").cast("bigint").alias("label"), "part", F.round(F.col("ot_s") * WIDTH, 1).alias("sample"), F.explode("picks").alias("p"))
+    return got.select("label", "part", "sample", F.round("p.dt_p", 4).alias("dt_p"), F.round("p.dt_s", 4).alias("dt_s"), F.round("p.cc_p", 4).alias("cc_p"), F.round("p.cc_s", 4).alias("cc_s"))
+
+
+def o50_series_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Onsets in the series that every station's picks make: channels ``a12``, ``a13`` and ``p_snr``, samples in order of time."""
+    rows = tables.picks(spark, sf_dir).where("sta is not null and tp is not null")
+    rows = ordered.positions(rows.select("sta", "tp", "pick_id", "a12", "a13", "p_snr"), ["sta"], "tp", "pick_id").withColumn("part", F.floor((F.col("pos") - 1) / PICKS))
+    channels = F.array(*[F.transform(F.col(f"s.{c}"), lambda x: F.coalesce(x, F.lit(0.0))) for c in ("a12", "a13", "p_snr")])
+    waves = rows.groupBy("sta", "part").agg(F.sort_array(F.collect_list(F.struct("pos", "a12", "a13", "p_snr"))).alias("s"))
+    waves = waves.select("sta", "part", F.lit(0).cast("bigint").alias("start_us"), F.lit(RATE).alias("samp_rate"), channels.alias("data"))
+    got = pick_stretches(waves, ["sta", "part"], PickOptions(trigger=3.0))
+    sample = lambda us: F.round(F.col(us) / 1e6 * RATE).cast("int")
+    return got.select("sta", "part", sample("tp_us").alias("onset"), sample("ts_us").alias("second"), F.round("p_snr", 3).alias("ratio"), "good")
+
+
+QUERIES = {"o50_series_picks": o50_series_picks, "o62_matched_vectors": o62_matched_vectors, "o66_vector_picks": o66_vector_picks}

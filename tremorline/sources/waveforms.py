@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremorline.operators.asof import epoch_lookup
+
 WAVES = "sta string, date string, chn int, start_us bigint, samp_rate double, data array<float>"
 
 
@@ -68,3 +70,17 @@ def divide_gain(waves: DataFrame, gain: str = "gain") -> DataFrame:
     """Samples divided by the column ``gain``; rows without a gain above zero stay as they are."""
     scaled = F.transform("data", lambda x: (x / F.col(gain)).cast("float"))
     return waves.withColumn("data", F.when(F.col(gain) > 0, scaled).otherwise(F.col("data"))).drop(gain)
+
+
+def apply_gain(waves: DataFrame, epochs: DataFrame) -> DataFrame:
+    """``WAVES`` divided by the gain of their station at the middle of the trace, channel by channel (O-03 with O-06).
+
+    ``epochs``: ``epoch_id, net_sta, ge, gn, gz, t0, t1``. As in ``epoch_lookup``, the last epoch holds where none fits; stations without
+    epochs, and gains that are not above zero, leave the samples as they are.
+    """
+    middle = F.timestamp_micros((F.col("start_us") + F.size("data") / F.col("samp_rate") / 2 * 1e6).cast("bigint"))
+    keyed = waves.withColumn("_id", F.xxhash64("date", "sta", "chn")).withColumn("_mid", middle)
+    got = epoch_lookup(keyed, epochs, "_id", "sta", "_mid", "epoch_id", "net_sta", "t0", "t1").select(F.col("event_id").alias("_id"), "epoch_id")
+    gains = got.join(epochs.select("epoch_id", F.array("ge", "gn", "gz").alias("_g")).dropDuplicates(["epoch_id"]), "epoch_id").select("_id", "_g")
+    rows = keyed.join(gains, "_id", "left").withColumn("_gain", F.get("_g", F.col("chn")))
+    return divide_gain(rows, "_gain").select(*waves.columns)
