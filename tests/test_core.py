@@ -51,18 +51,20 @@ def table(spark):
     return rows, spark.createDataFrame([*rows, (900, "A", None, 1.0)], "id bigint, k string, t bigint, x double").cache()
 
 
-def test_positions(table):
+@pytest.mark.parametrize("most", [ordered.MOST, 4])
+def test_positions(table, most):
     rows, df = table
-    got = {r.id: r.pos for r in ordered.positions(df, ["k"], "t", "id", bucket=100).collect()}
+    got = {r.id: r.pos for r in ordered.positions(df, ["k"], "t", "id", bucket=100, most=most).collect()}
     assert got == {r[0]: i + 1 for own in numbered(rows).values() for i, r in enumerate(own)}
-    through = {r.id: r.pos for r in ordered.positions(df, [], "t", "id", bucket=7).collect()}
+    through = {r.id: r.pos for r in ordered.positions(df, [], "t", "id", bucket=7, most=most).collect()}
     assert through == {r[0]: i + 1 for i, r in enumerate(sorted(rows, key=lambda r: (r[2], r[0])))}
 
 
-def test_rolling_and_sta_lta(table):
+@pytest.mark.parametrize("most", [ordered.MOST, 4])
+def test_rolling_and_sta_lta(table, most):
     rows, df = table
-    pos = ordered.positions(df, ["k"], "t", "id")
-    got = {r.id: (r.s, r.n) for r in ordered.rolling(pos, ["k"], {"s": (-3, 2, F.sum("x")), "n": (-3, 2, F.count("x"))}, ["id"], block=10).collect()}
+    pos = ordered.positions(df, ["k"], "t", "id", most=most)
+    got = {r.id: (r.s, r.n) for r in ordered.rolling(pos, ["k"], {"s": (-3, 2, F.sum("x")), "n": (-3, 2, F.count("x"))}, ["id"], block=10, most=most).collect()}
     ratio = {r.id: r.ratio for r in ordered.sta_lta(pos, ["k"], "x", 3, 5, ["id"]).collect()}
     for own in numbered(rows).values():
         x = np.array([r[3] for r in own])
@@ -76,11 +78,12 @@ def test_rolling_and_sta_lta(table):
                 assert math.isclose(kernel[i], want)
 
 
-def test_neighbours_and_islands(table):
+@pytest.mark.parametrize("most", [ordered.MOST, 4])
+def test_neighbours_and_islands(table, most):
     rows, df = table
-    n = {r.id: r.n for r in ordered.neighbour_count(df, ["k"], "t", 3, ["id"], block=5).collect()}
+    n = {r.id: r.n for r in ordered.neighbour_count(df, ["k"], "t", 3, ["id"], block=5, most=most).collect()}
     assert n == {r[0]: sum(abs(r[2] - q[2]) < 3 and r[1] == q[1] for q in rows) for r in rows}
-    island = {r.id: r.island for r in ordered.time_islands(df, ["k"], "t", "id", 3, block=11).collect()}
+    island = {r.id: r.island for r in ordered.time_islands(df, ["k"], "t", "id", 3, block=11, most=most).collect()}
     want = {}
     for own in numbered(rows).values():
         for i, r in enumerate(own):
@@ -88,10 +91,11 @@ def test_neighbours_and_islands(table):
     assert island == want
 
 
-def test_runs_and_turning_points(table):
+@pytest.mark.parametrize("most", [ordered.MOST, 4])
+def test_runs_and_turning_points(table, most):
     rows, df = table
-    pos = ordered.positions(df, ["k"], "t", "id")
-    got = sorted((r.k, r["first"], r["last"], r.value, r.n) for r in ordered.runs(pos, ["k"], "x", 2, block=7).collect())
+    pos = ordered.positions(df, ["k"], "t", "id", most=most)
+    got = sorted((r.k, r["first"], r["last"], r.value, r.n) for r in ordered.runs(pos, ["k"], "x", 2, block=7, most=most).collect())
     want, turns = [], {}
     for k, own in numbered(rows).items():
         x = [r[3] for r in own]
@@ -106,9 +110,10 @@ def test_runs_and_turning_points(table):
     assert {r.k: (r.first_turn, r.second_turn) for r in ordered.turning_points(pos, ["k"], "x").collect()} == turns
 
 
-def test_carry_last(spark):
+@pytest.mark.parametrize("most", [ordered.MOST, 4])
+def test_carry_last(spark, most):
     df = spark.createDataFrame([("f", i, "H" if i in (3, 40, 41, 300) else None) for i in range(0, 500, 1)], "f string, p bigint, v string")
-    got = {r.p: r.top for r in ordered.carry_last(df, ["f"], "p", F.when(F.col("v").isNotNull(), F.col("p")), "top", 16).collect()}
+    got = {r.p: r.top for r in ordered.carry_last(df, ["f"], "p", F.when(F.col("v").isNotNull(), F.col("p")), "top", 16, most).collect()}
     assert got == {i: max((h for h in (3, 40, 41, 300) if h <= i), default=None) for i in range(500)}
 
 
@@ -130,12 +135,14 @@ def test_ranking(spark):
     for g in "ab":
         third = sorted((r[2] for r in rows if r[1] == g and r[2] is not None), reverse=True)[2]
         assert {r.id for r in capped if r.g == g} == {r[0] for r in rows if r[1] == g and r[2] is not None and r[2] >= third}
-    med = {r.g: r["median"] for r in ranking.median_without_outlier(df, ["g"], "v", ["id"]).collect()}
-    for g in "ab":
-        own = [r for r in rows if r[1] == g and r[2] is not None]
-        x = np.array([r[2] for r in own])
-        assert med[g] == np.median(np.delete(x, int(np.argmax(np.abs(x - np.median(x))))))
-    assert med["c"] is None
+    for most in (100_000, 3):
+        got = ranking.median_without_outlier(df, ["g"], "v", ["id"], most=most).collect()
+        med, n = {r.g: r["median"] for r in got}, {r.g: r.n for r in got}
+        for g in "ab":
+            own = [r for r in rows if r[1] == g and r[2] is not None]
+            x = np.array([r[2] for r in own])
+            assert med[g] == np.median(np.delete(x, int(np.argmax(np.abs(x - np.median(x)))))) and n[g] == len(own)
+        assert med["c"] is None and n["c"] == 1
 
 
 def test_unique_pairs(spark):
@@ -153,6 +160,12 @@ def test_join_hot(spark):
         assert got == want
 
 
+def test_small_side_is_weighed(spark):
+    df = spark.createDataFrame([(i, "x" * 1000 + str(i)) for i in range(50)], "k bigint, v string")
+    plan = lambda d: spark.range(5).toDF("k").join(d, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(small_side(df, "s")) and "merge" in plan(small_side(df, "s", max_rows=10)) and "merge" in plan(small_side(df, "s", max_bytes=100))
+
+
 def test_padded_cells(spark):
     g = Grid(0.0, 0.0, 1.0, 1.0, 3, 3, 0.1)
     pts = [(1, 0.5, 0.5), (2, 1.05, 0.5), (3, 1.0, 2.95), (4, -0.05, 0.5), (5, 5.0, 5.0), (6, None, 1.0), (7, 3.05, 3.05)]

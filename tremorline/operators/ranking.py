@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremorline.operators.ordered import largest
+from tremorline.session import cut
+
 
 def best_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
     """The row with the least ``order`` in each group, by a combinable minimum: a hot group is reduced before the shuffle.
@@ -29,20 +32,31 @@ def cap_with_ties(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return df.withColumn("rank", F.rank().over(line)).where(F.col("rank") <= k)
 
 
-def median_without_outlier(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str]) -> DataFrame:
-    """Per group the median after the one value farthest from the median was left out (the first by ``tie`` of those equal to 1e-9).
+def median_without_outlier(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], most: int = 100_000) -> DataFrame:
+    """Per group ``median`` after the one value farthest from the median was left out (the first by ``tie`` of those equal to 1e-9), and ``n``, all its values.
 
-    Groups of one value have a null median. Null values do not count.
+    Groups of one value have a null median. Null and NaN values do not count. Groups of up to ``most`` rows are handled as arrays; if one
+    is larger, all go by joins, which split it.
     """
-    own = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    medians = own.groupBy(*keys).agg(F.median(value).alias("_median"))
-    dev = own.join(medians, list(keys)).withColumn("_dev", F.round(F.abs(F.col(value) - F.col("_median")), 9))
-    worst = dev.groupBy(*keys).agg(F.min(F.struct((-F.col("_dev")).alias("d"), *tie)).alias("_w"))
+    own = cut(df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("_v"), *[F.col(t).alias(f"_t{i}") for i, t in enumerate(tie)]), "values")
+    ties = [f"_t{i}" for i in range(len(tie))]
+    if largest(own, keys) <= most:
+        rows = own.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_v", *ties))).alias("a")).withColumn("n", F.size("a").cast("bigint"))
+        at = lambda k: F.get("a", k.cast("int"))["_v"]
+        half = lambda k: F.floor(k / 2)
+        rows = rows.withColumn("mid", (at(half(F.col("n") - 1)) + at(half(F.col("n")))) / 2)
+        away = F.transform("a", lambda x, i: F.struct((-F.round(F.abs(x["_v"] - F.col("mid")), 9)).alias("d"), *[x[t].alias(t) for t in ties], i.alias("i")))
+        rows = rows.withColumn("out", F.array_min(away)["i"])
+        rest = lambda k: at(k + F.when(k >= F.col("out"), 1).otherwise(0))
+        return rows.select(*keys, F.when(F.col("n") > 1, (rest(half(F.col("n") - 2)) + rest(half(F.col("n") - 1))) / 2).alias("median"), "n")
+    medians = own.groupBy(*keys).agg(F.median("_v").alias("_median"))
+    dev = own.join(medians, list(keys)).withColumn("_dev", F.round(F.abs(F.col("_v") - F.col("_median")), 9))
+    worst = dev.groupBy(*keys).agg(F.min(F.struct((-F.col("_dev")).alias("d"), *ties)).alias("_w"))
     same = F.lit(True)
-    for t in tie:
+    for t in ties:
         same = same & F.col(t).eqNullSafe(F.col(f"_w.{t}"))
     rest = dev.join(worst, list(keys))
-    return rest.groupBy(*keys).agg(F.median(F.when(~same, F.col(value))).alias("median"), F.count("*").alias("n"))
+    return rest.groupBy(*keys).agg(F.median(F.when(~same, F.col("_v"))).alias("median"), F.count("*").alias("n"))
 
 
 def unique_pairs(df: DataFrame, a: str, b: str, station: str, least: int) -> DataFrame:

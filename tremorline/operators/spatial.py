@@ -154,23 +154,23 @@ def _meet(points: DataFrame, shapes: DataFrame, exact: Callable, tile: float = 0
     pts = points.select(*own, floor(F.col("x") / tile).alias("i"), floor(F.col("y") / tile).alias("j"))
     span = lambda lo, hi: F.explode(F.sequence(floor(F.col(lo) / tile), floor(F.col(hi) / tile)))
     shp = shapes.withColumn("i", span("x0", "x1")).withColumn("j", span("y0", "y1"))
-    crowded = pts.groupBy("i", "j").agg(F.count("*").alias("n")).where(F.col("n") > tile_points)
-    crowded = cut(crowded.select("i", "j", F.ceil(F.sqrt(F.col("n") / tile_points) * 2).cast("bigint").alias("parts")), "crowded")
-    if crowded.limit(1).count():
-        crowded = small_side(crowded, "crowded")
+    tiles = pts.groupBy("i", "j").agg(F.count("*").alias("n"))
+    busiest = tiles.agg(F.max("n")).first()[0] or 0
+    easy = busiest <= tile_points and busiest * shapes.count() <= block_pairs
+    key = ["i", "j"]
+    if busiest > tile_points:
+        crowded = small_side(tiles.where(F.col("n") > tile_points).select("i", "j", F.ceil(F.sqrt(F.col("n") / tile_points) * 2).cast("bigint").alias("parts")), "crowded")
         part = lambda c, own: F.least(F.greatest(floor((F.col(c) / tile - F.col(own)) * F.col("parts")), F.lit(0)), F.col("parts") - 1)
         pts = pts.join(crowded, ["i", "j"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         pts = pts.select(*own, "i", "j", part("x", "i").alias("fi"), part("y", "j").alias("fj"))
         shp = shp.join(crowded, ["i", "j"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         shp = shp.withColumn("fi", F.explode(F.sequence(part("x0", "i"), part("x1", "i")))).withColumn("fj", F.explode(F.sequence(part("y0", "j"), part("y1", "j")))).drop("parts")
-        key = ["i", "j", "fi", "fj"]
-    else:
-        key = ["i", "j"]
-    # parts whose points and shapes could make too many pairs for a task
-    pairs = pts.groupBy(key).agg(F.count("*").alias("np")).join(shp.groupBy(key).agg(F.count("*").alias("ns")), key)
-    many = F.sqrt(F.col("np") / block_pairs * F.col("ns"))
-    hot = cut(pairs.where(many > 1).select(*key, F.least(F.ceil(many), F.col("np")).alias("pb"), F.least(F.ceil(many), F.col("ns")).alias("sb")), "blocks")
-    if hot.limit(1).count():
+        key = [*key, "fi", "fj"]
+    if not easy:  # parts whose points and shapes could make too many pairs for a task
+        pairs = pts.groupBy(key).agg(F.count("*").alias("np")).join(shp.groupBy(key).agg(F.count("*").alias("ns")), key)
+        many = F.sqrt(F.col("np") / block_pairs * F.col("ns"))
+        hot = cut(pairs.where(many > 1).select(*key, F.least(F.ceil(many), F.col("np")).alias("pb"), F.least(F.ceil(many), F.col("ns")).alias("sb")), "blocks")
+    if not easy and hot.limit(1).count():
         hot = small_side(hot, "blocks")
         one = lambda c: F.coalesce(F.col(c), F.lit(1).cast("bigint"))
         mine = lambda c, n: F.pmod(F.xxhash64(c), one(n))

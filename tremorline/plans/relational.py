@@ -16,7 +16,7 @@ from tremorline.operators.relocate import relocate_all
 from tremorline.operators.spatial import nearest
 from tremorline.plans import tables
 from tremorline.plans.associate import detection_arrivals
-from tremorline.session import join_hot, load
+from tremorline.session import cut, join_hot, load
 
 SECOND = 1_000_000
 AREA = Grid(lon_min=-42.0, lat_min=48.0, dx=1.0, dy=1.0, nx=4, ny=4, pad=0.1)
@@ -30,7 +30,7 @@ def _numbered(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
     """Picks with a station and a time, numbered per station by time; a sample that is missing or not finite is 0, as in waveforms."""
     rows = tables.picks(spark, sf_dir).where(F.col("sta").isNotNull() & F.col("tp").isNotNull())
     rows = rows.select("pick_id", "sta", "tp", F.coalesce(_finite(value), F.lit(0.0)).alias(value))
-    return ordered.positions(rows, ["sta"], "tp", "pick_id")
+    return cut(ordered.positions(rows, ["sta"], "tp", "pick_id"), "numbered")
 
 
 def o05_gain_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:

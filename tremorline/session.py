@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows beyond which a side that is meant to be small is no longer broadcast.
-SMALL_ROWS = 200_000
+#: Rows, and bytes of its files, beyond which a side that is meant to be small is no longer broadcast.
+SMALL_ROWS, SMALL_BYTES = 200_000, 16 << 20
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "tremorline") -> SparkSession:
@@ -75,13 +74,22 @@ def release(spark: SparkSession) -> bool:
     return path.getFileSystem(conf).delete(path, True)
 
 
-def small_side(df: DataFrame, label: str, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` written once and counted: with a broadcast hint up to ``max_rows`` rows, plain beyond.
+def small_side(df: DataFrame, label: str, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> DataFrame:
+    """``df`` written once, counted and weighed: with a broadcast hint up to ``max_rows`` rows in ``max_bytes`` of files, with a merge hint beyond.
 
-    Beyond the bound the join is left to the optimiser, which shuffles and splits skewed partitions.
+    A merge join shuffles, and adaptive execution splits its skewed partitions.
     """
     table = cut(df, label)
-    return F.broadcast(table) if table.count() <= max_rows else table
+    small = table.count() <= max_rows and file_bytes(table) <= max_bytes
+    return F.broadcast(table) if small else table.hint("merge")
+
+
+def file_bytes(table: DataFrame) -> int:
+    """Bytes of the files of a table from ``cut``."""
+    spark = table.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folders = [jvm.org.apache.hadoop.fs.Path(f) for f in {f.rsplit("/", 1)[0] for f in table.inputFiles()}]
+    return sum(path.getFileSystem(conf).getContentSummary(path).getLength() for path in folders)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -111,7 +119,3 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, how: str = "inner", hot
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     warm = big.where(~is_hot).join(small.where(~is_hot), key, how)
     return warm.unionByName(big.where(is_hot).join(F.broadcast(small.where(is_hot)), key, how))
-
-
-def as_schema(pairs: Sequence[tuple[str, str]]) -> str:
-    return ", ".join(f"{name} {kind}" for name, kind in pairs)
