@@ -30,7 +30,7 @@ def _numbered(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
     """Picks with a station and a time, numbered per station by time; a sample that is missing or not finite is 0, as in waveforms."""
     rows = tables.picks(spark, sf_dir).where(F.col("sta").isNotNull() & F.col("tp").isNotNull())
     rows = rows.select("pick_id", "sta", "tp", F.coalesce(_finite(value), F.lit(0.0)).alias(value))
-    return cut(ordered.positions(rows, ["sta"], "tp", "pick_id"), "numbered")
+    return ordered.positions(cut(rows, "samples"), ["sta"], "tp", "pick_id")
 
 
 def o05_gain_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
