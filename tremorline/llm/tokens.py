@@ -26,10 +26,6 @@ def encoder(path: str):  # noqa: ANN201
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_ids(text: str, path: str = VOCABULARY) -> np.ndarray:
-    return np.asarray(encoder(path).encode_ordinary(text), "i8")
-
-
 def count_tokens(docs: DataFrame, id_col: str, text_col: str, path: str = VOCABULARY) -> DataFrame:
     """``(doc_id bigint, n_tokens bigint)`` of all whole texts. Null texts are left out; an empty text has 0 tokens."""
 
