@@ -19,7 +19,7 @@ from tremorline.operators import ordered, ranking
 from tremorline.operators.greedy import cluster_detections, gap_selection, refractory
 from tremorline.operators.grid import Grid, padded_cells
 from tremorline.operators.relocate import RelocationOptions, relocate, relocate_all
-from tremorline.operators.waveforms import MatchOptions, PickOptions, ShearSearch, cut_template, cut_templates, detect, expand_peaks, match, pick_by_template, pick_station, pick_waveforms, stack_at_origin
+from tremorline.operators.waveforms import MatchOptions, PickOptions, ShearSearch, cut_template, cut_templates, day_traces, detect, expand_peaks, match, pick_by_template, pick_station, pick_waveforms, stack_at_origin, template_windows
 from tremorline.plans import associate, registry
 from tremorline.session import cut, join_hot, small_side
 from tremorline.sources import lines, waveforms
@@ -393,6 +393,58 @@ def test_turning_points_as_defined():
         assert [signal.turning_index(np.array(x, "f8"), k) for k in (1, 2)] == [slow(x, k) for k in (1, 2)], x
 
 
+def test_template_windows(spark, tmp_path):
+    o, n = MatchOptions(), int(60 * FS)
+    rows = [(t, f"A.S{k}", int(20 * FS) + k, int(26 * FS), 17 * FS - 0.4, wavelets(1, f"A.S{k}", 20 * FS + k, 26 * FS, n).tolist()) for t, m in (("one", 6), ("two", 3)) for k in range(m)]
+    traces = spark.createDataFrame(rows, "temp_id string, sta string, tp int, ts int, ot double, data array<array<float>>")
+    waveforms.write_templates(template_windows(traces, most=5), str(tmp_path / "t"))
+    got = waveforms.read_templates(spark, str(tmp_path / "t")).collect()
+    assert {(r.temp_id, r.sta) for r in got} == {("one", f"A.S{k}") for k in range(5)} and len(got) == 5 * 9
+    for r in got:
+        assert math.isclose(r.norm, np.linalg.norm(r.data), rel_tol=1e-6) and len(r.data) == {"det": 500, "p": 100, "s": 150}[r.win]
+    first = next(r for r in got if r.sta == "A.S1" and r.win == "p" and r.chn == 2)
+    assert (first.dt_ot, first.ttp, first.tts) == (int(17 * FS - 0.4 - 20 * FS - 1 + o.n(1)), int(20 * FS + 1 - 17 * FS + 0.4), int(9 * FS + 0.4))
+
+
+def test_day_traces(spark):
+    fs, o = 2.0, MatchOptions(fs=1.0)
+    start = 2 * 86_400_000_000 - 3_600_000_000  # an hour before the day
+    x = np.random.default_rng(0).normal(size=int(26 * 3600 * fs))
+    rows = [("A.B", "d", c, start, fs, x.tolist()) for c in range(3)] + [("X.Y", "d", 0, start, fs, [1.0, 2.0])]
+    waves = spark.createDataFrame(rows, "sta string, date string, chn int, start_us bigint, samp_rate double, data array<double>")
+    got = day_traces(waves, o).collect()
+    assert [(r.sta, r.chn, len(r.data), len(r.norm)) for r in got] == [("A.B", c, 86_400, 86_390) for c in range(3)]
+    want = signal.prepare_match(np.stack([x] * 3), fs, 1.0)[0][3600 : 3600 + 86_400]
+    assert np.allclose(got[0].data, want, atol=1e-5) and math.isclose(got[0].norm[5], np.linalg.norm(want[6:16]), rel_tol=1e-4)
+
+
+def test_location_outputs(spark):
+    best = spark.createDataFrame([(1, 1_562_256_823_440_000, 35.7, -117.5, 8.25, True, "line one"), (2, 1_562_256_900_000_000, 35.8, -117.6, 3.0, False, "line two #")], "evid bigint, ot bigint, lat double, lon double, dep double, reliable boolean, line string")
+    mags = spark.createDataFrame([(1, 2.345)], "evid bigint, mag double")
+    phases = spark.createDataFrame([(1, "A.B", 1_562_256_824_000_000, None, 1e-5), (9, "A.B", 1, 2, 1.0)], "evid bigint, sta string, tp bigint, ts bigint, s_amp double")
+    got = {k: [r.line for r in d.orderBy("evid", "ord").collect()] for k, d in formats.location_outputs(best, mags, phases).items()}
+    one, two = "20190704161343.44,35.7000,-117.5000,8.3,2.35", "20190704161500.00,35.8000,-117.6000,3.0,-1"
+    phase = "A.B,2019-07-04T16:13:44.000000Z,-1,1.0E-5"
+    assert got == {"catalog": [one, two], "summary": ["line one", "line two #"], "good": [one], "bad": [two], "phases": [one, phase, two], "full": [one + ",1", phase, two + ",2"]}
+    site = spark.createDataFrame([("CI.CLC", 35.81574, -117.59751, 775.0)], "sta string, lat double, lon double, ele double")
+    assert site.select(formats.hypodd_station(F.col("sta"), F.col("lat"), F.col("lon"))).first()[0] == "CLC     35.8157 -117.5975"
+    assert site.select(formats.hypoinverse_station(F.col("sta"), F.col("lat"), F.col("lon"), F.col("ele"))).first()[0] == "CLC   CI  HHZ  35 48.9444N117 35.8506W 775"
+
+
+def test_link_and_event_lines(spark):
+    links = spark.createDataFrame([(1, 2, "A.B", 0.125, 0.9, "P"), (1, 2, "A.B", -0.5, 0.8, "S")], "evid1 bigint, evid2 bigint, sta string, dt double, weight double, phase string")
+    got = [r.line for r in formats.link_lines(links).orderBy("evid1", "evid2", "ord").collect()]
+    assert got == ["#         1         2 0.0", "A.B      0.1250 0.9000 P", "A.B     -0.5000 0.8000 S"]
+    df = spark.createDataFrame([(1_562_256_823_440_000, 35.7, -117.5, 8.25, 2.345, 77)], "ot bigint, lat double, lon double, dep double, mag double, evid bigint")
+    columns = [F.col(c) for c in df.columns]
+    lines_df = df.select(formats.event_line(*columns).alias("line"))
+    assert [tuple(r) for r in formats.parse_event_lines(lines_df).collect()] == [(77, 2.35)]
+    assert df.select(formats.hypodd_head(*columns, dep_corr=5.0)).first()[0].split() == ["#", "2019", "7", "4", "16", "13", "43.44", "35.7000", "-117.5000", "13.25", "2.35", "0.00", "0.00", "0.00", "77"]
+    assert df.select(formats.hypodd_phase(F.lit("CI.CLC"), F.col("dep"), "P")).first()[0].split() == ["CLC", "8.250", "1.000", "P"]
+    head = df.select(formats.hypoinverse_head(F.col("ot"), F.col("lat"), F.col("lon"), F.col("evid"))).first()[0]
+    assert head.startswith("2019070416134344") and head.endswith("77L") and "35N4200" in head
+
+
 def test_trim_pad():
     x = np.arange(1, 5)
     assert signal.trim_pad(x, -2, 4).tolist() == [0, 0, 1, 2] and signal.trim_pad(x, 2, 4).tolist() == [3, 4, 0, 0] and signal.trim_pad(x, 9, 2).tolist() == [0, 0]

@@ -149,3 +149,28 @@ def location_lines(best: DataFrame) -> DataFrame:
     """The catalogue line of every best location with its verdict: the files of good and bad locations are its two parts."""
     line = F.concat_ws(",", compact_time(F.col("ot")), F.format_string("%.4f", "lat"), F.format_string("%.4f", "lon"), F.format_string("%.1f", "dep"))
     return best.select("evid", "reliable", line.alias("line"))
+
+
+def hypodd_station(sta: Column, lat: Column, lon: Column) -> Column:
+    """A station line: code without network, latitude, longitude."""
+    return F.format_string("%-5s %9.4f %9.4f", F.substring_index(sta, ".", -1), lat, lon)
+
+
+def location_outputs(best: DataFrame, mags: DataFrame, phases: DataFrame) -> dict[str, DataFrame]:
+    """The six texts of located events as ``evid, ord, line`` (O-23): ``catalog``, ``summary``, ``good``, ``bad``, ``phases`` and ``full`` (with the event's number).
+
+    ``best`` as from ``best_locations``, ``mags (evid, mag)``, ``phases (evid, sta, tp, ts, s_amp)``; what is missing is written as -1. An event is
+    bad if none of its locations is reliable. Phases of unknown events are left out.
+    """
+    number = lambda form, c: F.when(F.col(c).isNull(), "-1").otherwise(F.format_string(form, c))
+    head = F.concat_ws(",", compact_time(F.col("ot")), F.format_string("%.4f", "lat"), F.format_string("%.4f", "lon"), F.format_string("%.1f", "dep"), number("%.2f", "mag"))
+    rows = best.join(mags.select("evid", "mag").dropDuplicates(["evid"]), "evid", "left").select("evid", "reliable", "line", head.alias("head"))
+    time = lambda c: F.coalesce(iso_time(F.col(c)), F.lit("-1"))
+    body = phases.join(best.select("evid"), "evid", "left_semi")
+    body = body.select("evid", F.concat_ws(",", "sta", "tp").alias("ord"), F.concat_ws(",", "sta", time("tp"), time("ts"), F.coalesce(F.col("s_amp").cast("string"), F.lit("-1"))).alias("line"))
+    one = lambda d, c: d.select("evid", F.lit("").alias("ord"), c.alias("line"))
+    plain = one(rows, F.col("head"))
+    return {
+        "catalog": plain, "summary": one(rows, F.col("line")), "good": one(rows.where("reliable"), F.col("head")), "bad": one(rows.where("not reliable"), F.col("head")),
+        "phases": plain.unionByName(body), "full": one(rows, F.concat_ws(",", "head", F.col("evid").cast("string"))).unionByName(body),
+    }

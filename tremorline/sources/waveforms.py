@@ -84,3 +84,12 @@ def apply_gain(waves: DataFrame, epochs: DataFrame) -> DataFrame:
     gains = got.join(epochs.select("epoch_id", F.array("ge", "gn", "gz").alias("_g")).dropDuplicates(["epoch_id"]), "epoch_id").select("_id", "_g")
     rows = keyed.join(gains, "_id", "left").withColumn("_gain", F.get("_g", F.col("chn")))
     return divide_gain(rows, "_gain").select(*waves.columns)
+
+
+def write_templates(windows: DataFrame, path: str) -> None:
+    """The windows of templates (``operators.waveforms.template_windows``) as Parquet, sorted so that a template is read from few files (O-27)."""
+    windows.repartitionByRange("temp_id", "sta").sortWithinPartitions("temp_id", "sta", "win", "chn").write.mode("overwrite").parquet(path)
+
+
+def read_templates(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
