@@ -487,6 +487,27 @@ def test_association_recovers_events(spark, network):
     assert associate.associate(picks.limit(0), spark.createDataFrame(stations)).count() == 0
 
 
+def test_bounded_search_equals_whole_grid():
+    rng = np.random.default_rng(5)
+    stations = pd.DataFrame([(f"S{k}", 35 + rng.uniform(0, 1.5), -117 + rng.uniform(0, 1.5), 300.0) for k in range(9)], columns=["sta", "lat", "lon", "ele_m"])
+    o = associate.AssociationOptions(depths=(1.0, 7.0, 19.0), xy_grid=0.03)
+    times = associate.TravelTimes(stations, o)
+    for _ in range(25):
+        names = [f"S{k}" for k in rng.permutation(9)[: rng.integers(1, 10)]]
+        z, x, y = (int(rng.integers(0, n)) for n in (3, len(times.lon), len(times.lat)))
+        travel = np.array([times.of(s)[z, x, y] for s in names], "f8") + rng.normal(0, 0.6, len(names))
+        whole = np.abs(np.stack([times.of(s) for s in names]) - travel.astype("f4")[:, None, None, None])
+        near = whole < o.max_res
+        count, total = near.sum(axis=0), np.zeros(whole.shape[1:], "f4")
+        for k in range(len(names)):
+            total += np.where(near[k], whole[k], np.float32(0))
+        mean = total / np.maximum(count, 1)
+        for depth, got in enumerate(times.best_cells(names, travel, o.max_res)):
+            most = count[depth].max()
+            at = np.unravel_index(int(np.argmin(np.where(count[depth] == most, mean[depth], np.inf))), mean[depth].shape)
+            assert got == (int(most), float(mean[depth][at]), *map(int, at)) or most == 0
+
+
 def test_trial_depths(spark, network):
     stations, truth, picks = network
     rows = picks.where("pick_id < 900 and ot < 2e9").withColumn("evid", F.floor((F.col("ot") / 1e6 - 970) / 60))

@@ -19,6 +19,12 @@ HOUR = 3_600_000_000
 EVENT = "ot bigint, lat double, lon double, dep double, mag double, res double, n_picks int, pick_ids array<bigint>"
 
 
+#: Cells of a block's side in the search.
+BLOCK = 4
+#: Cells of the grid of travel times; larger areas are refused, as a task holds a sixteenth of them per station (5 MB).
+MOST_CELLS = 20_000_000
+
+
 @dataclass(frozen=True)
 class AssociationOptions:
     """Windows in seconds, grid steps in degrees, depths in km, velocity in km/s."""
@@ -41,38 +47,80 @@ class TravelTimes:
         edge_lat, edge_lon = options.xy_margin * np.ptp(lat), options.xy_margin * np.ptp(lon)
         nx = max(1, int((np.ptp(lon) + 2 * edge_lon) / options.xy_grid))
         ny = max(1, int((np.ptp(lat) + 2 * edge_lat) / options.xy_grid))
+        if nx * ny * len(options.depths) > MOST_CELLS:
+            raise ValueError(f"a grid of {nx} x {ny} x {len(options.depths)} cells is too large for a task: divide the stations by area (operators.grid)")
         self.lon = lon.min() - edge_lon + options.xy_grid * np.arange(nx)
         self.lat = lat.min() - edge_lat + options.xy_grid * np.arange(ny)
-        self.dep, self.vp = np.array(options.depths), options.vp
+        self.dep, self.vp, self.step = np.array(options.depths), options.vp, options.xy_grid
         self.station = {r.sta: (r.lat, r.lon, r.ele_m) for r in stations.itertuples()}
-        self._known: dict[str, np.ndarray] = {}
+        self._coarse: dict[str, np.ndarray] = {}
+
+    def at(self, sta: str, z: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Seconds from cells (index of depth, longitude, latitude) to a station."""
+        lat, lon, ele = self.station[sta]
+        dx = KM_PER_DEGREE * (self.lon[x] - lon) * np.cos(np.radians(lat))
+        dy = KM_PER_DEGREE * (self.lat[y] - lat)
+        dz = self.dep[z] + ele / 1000
+        return (np.sqrt(dz**2 + dx**2 + dy**2) / self.vp).astype("f4")
 
     def of(self, sta: str) -> np.ndarray:
-        """``[depth, lon, lat]`` in seconds."""
-        if sta not in self._known:
-            lat, lon, ele = self.station[sta]
-            dx = KM_PER_DEGREE * (self.lon - lon) * np.cos(np.radians(lat))
-            dy = KM_PER_DEGREE * (self.lat - lat)
-            dz = self.dep + ele / 1000
-            self._known[sta] = (np.sqrt(dz[:, None, None] ** 2 + dx[None, :, None] ** 2 + dy[None, None, :] ** 2) / self.vp).astype("f4")
-        return self._known[sta]
+        """The whole grid ``[depth, lon, lat]`` in seconds."""
+        return self.at(sta, np.arange(len(self.dep))[:, None, None], np.arange(len(self.lon))[None, :, None], np.arange(len(self.lat))[None, None, :])
+
+    def middles(self, sta: str) -> np.ndarray:
+        """As ``of`` at the middle cells of the blocks only; kept, as a task asks for a station many times."""
+        if sta not in self._coarse:
+            x, y = (np.minimum(np.arange(0, len(axis), BLOCK) + BLOCK // 2, len(axis) - 1) for axis in (self.lon, self.lat))
+            self._coarse[sta] = self.at(sta, np.arange(len(self.dep))[:, None, None], x[None, :, None], y[None, None, :])
+        return self._coarse[sta]
+
+    def best_cells(self, names: list[str], travel: np.ndarray, max_res: float) -> list[tuple[int, float, int, int]]:
+        """Per depth ``(picks explained, their mean residual, lon, lat)`` of the best cell of the whole grid: most picks, then least mean, then the first.
+
+        From the middle of a block of cells no travel time changes by more than the way to its corner takes, which bounds what any of its cells
+        can reach; only blocks that might hold the best cell are looked at cell by cell.
+        """
+        t = travel.astype("f4")
+        res = np.abs(np.stack([self.middles(s) for s in names]) - t[:, None, None, None])
+        slack = np.float32(KM_PER_DEGREE * self.step * (BLOCK // 2) * np.sqrt(2) / self.vp + 1e-3)
+        near = res < max_res
+        count = near.sum(axis=0)
+        most = count.max(axis=(1, 2))[:, None, None]
+        mean = np.where((count == most) & (count > 0), np.einsum("kzxy,kzxy->zxy", res, near) / np.maximum(count, 1), np.inf)
+        least = mean.min(axis=(1, 2))[:, None, None]
+        bound = (res < max_res + slack).sum(axis=0)
+        open_ = bound > most
+        even = np.nonzero(bound == most)  # as many picks at best: the least residuals that they could have
+        low = np.cumsum(np.sort(np.maximum(res[:, *even] - slack, 0), axis=0), axis=0)
+        need = np.broadcast_to(most, count.shape)[even]
+        low = np.where(need > 0, low[np.maximum(need - 1, 0), np.arange(len(need))] / np.maximum(need, 1), 0)
+        open_[even] = low <= np.broadcast_to(least, count.shape)[even] + 1e-4
+        z, bx, by = np.nonzero(open_)
+        x, y = np.broadcast_arrays(bx[:, None, None] * BLOCK + np.arange(BLOCK)[:, None], by[:, None, None] * BLOCK + np.arange(BLOCK))
+        z = np.broadcast_to(z[:, None, None], x.shape)
+        inside = (x < len(self.lon)) & (y < len(self.lat))
+        z, x, y = z[inside], x[inside], y[inside]
+        count, total = np.zeros(len(z), "i4"), np.zeros(len(z), "f4")
+        for name, at in zip(names, t, strict=True):
+            off = np.abs(self.at(name, z, x, y) - at)
+            hit = off < max_res
+            count += hit
+            total += np.where(hit, off, np.float32(0))
+        mean = total / np.maximum(count, 1)
+        order = np.lexsort((y, x, mean, -count, z))
+        first = order[np.searchsorted(z[order], np.arange(len(self.dep)))]
+        return [(int(count[i]), float(mean[i]), int(x[i]), int(y[i])) for i in first]
 
 
 def locate(sta: list[str], tp: np.ndarray, ot: float, times: TravelTimes, options: AssociationOptions) -> tuple[int, float, tuple[int, int, int], np.ndarray] | None:
     """The cell that explains most picks, of those the one with the least mean residual: ``(picks, residual, cell, explained)``."""
-    count, total = None, None
-    for name, t in zip(sta, tp - ot, strict=True):
-        res = np.abs(times.of(name) - np.float32(t))
-        near = res < options.max_res
-        res[~near] = 0
-        count, total = (near.astype("i2"), res) if count is None else (count + near, total + res)
-    most = int(count.max())
+    per_depth = times.best_cells(sta, tp - ot, options.max_res)
+    z = min(range(len(per_depth)), key=lambda k: (-per_depth[k][0], per_depth[k][1], k))
+    most, mean, x, y = per_depth[z]
     if most < options.min_sta:
         return None
-    mean = np.where(count == most, total / most, np.inf)
-    cell = np.unravel_index(int(np.argmin(mean)), mean.shape)
-    explained = np.array([abs(float(times.of(name)[cell]) - t) < options.max_res for name, t in zip(sta, tp - ot, strict=True)])
-    return most, float(mean[cell]), cell, explained
+    explained = np.array([abs(float(times.at(name, z, x, y)) - t) < options.max_res for name, t in zip(sta, tp - ot, strict=True)])
+    return most, mean, (z, x, y), explained
 
 
 def magnitude(sta: list[str], amp: np.ndarray, lat: float, lon: float, dep: float, times: TravelTimes) -> float:
@@ -156,7 +204,7 @@ def detection_arrivals(spark: SparkSession, sf_dir: str, vp: float = 6.0, vs: fl
 def o54_associate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of all arrivals of the detections; the origin times come from the delays of S."""
     rows = detection_arrivals(spark, sf_dir)
-    got = associate(rows, tables.stations(spark, sf_dir), AssociationOptions(xy_grid=0.05))
+    got = associate(rows, tables.stations(spark, sf_dir))
     return got.select(F.timestamp_micros("ot").alias("ot"), "lat", "lon", "dep", "mag", "res", "n_picks")
 
 
@@ -169,7 +217,7 @@ def azimuthal_gap(azimuths: np.ndarray) -> float:
     return float(np.max(np.diff(np.append(a, a[0] + 360)))) if len(a) else 360.0
 
 
-def trial_locations(picks: DataFrame, stations: DataFrame, options: AssociationOptions = AssociationOptions(), batch: int = 100) -> DataFrame:  # noqa: B008
+def trial_locations(picks: DataFrame, stations: DataFrame, options: AssociationOptions = AssociationOptions(), batch: int = 400) -> DataFrame:  # noqa: B008
     """Every event located at every trial depth (O-78): ``evid, dep, lat, lon, n_pha, rms, gap``.
 
     ``picks (evid, sta, ot, tp)`` in microseconds. A depth at which fewer than ``min_sta`` picks are explained gives no row. About
@@ -189,29 +237,28 @@ def trial_locations(picks: DataFrame, stations: DataFrame, options: AssociationO
             ev = ev.drop_duplicates(["sta", "tp"]).sort_values(["tp", "sta"])
             names, ot = ev["sta"].to_list(), float(ev["ot"].median()) / 1e6
             travel = ev["tp"].to_numpy("f8") / 1e6 - ot
-            res = np.abs(np.stack([times.of(s) for s in names]) - travel[:, None, None, None].astype("f4"))
-            near = res < options.max_res
-            count = near.sum(axis=0)
-            mean = np.where(near, res, 0).sum(axis=0) / np.maximum(count, 1)
-            for z, dep in enumerate(times.dep):
-                most = int(count[z].max())
+            for z, (most, _, x, y) in enumerate(times.best_cells(names, travel, options.max_res)):
                 if most < options.min_sta:
                     continue
-                x, y = np.unravel_index(int(np.argmin(np.where(count[z] == most, mean[z], np.inf))), mean[z].shape)
-                used = near[:, z, x, y]
+                res = np.abs(np.array([times.at(s, z, x, y) for s in names]) - travel.astype("f4"))
+                used = res < options.max_res
                 at = np.array([times.station[s] for s, u in zip(names, used, strict=True) if u])
                 gap = azimuthal_gap(np.degrees(np.arctan2((at[:, 1] - times.lon[x]) * np.cos(np.radians(times.lat[y])), at[:, 0] - times.lat[y])))
-                rows.append((evid, float(dep), float(times.lat[y]), float(times.lon[x]), most, float(np.sqrt((res[used, z, x, y].astype("f8") ** 2).mean())), gap))
+                rows.append((evid, float(times.dep[z]), float(times.lat[y]), float(times.lon[x]), most, float(np.sqrt((res[used].astype("f8") ** 2).mean())), gap))
         return pd.DataFrame(rows, columns=["evid", "dep", "lat", "lon", "n_pha", "rms", "gap"]).astype({"evid": "i8", "n_pha": "i4"})
 
     own = own.withColumn("part", F.pmod(F.xxhash64("evid"), F.lit(parts)))
     return spread(own, "part").groupBy("part").applyInPandas(kernel, LOCATION)
 
 
+#: Fixed value: the trial depths of locations in km.
+TRIAL_DEPTHS = tuple(float(z) for z in range(20))
+
+
 def o78_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best of the trial depths of every detection (O-78, O-79): more phases, then less residual, then the shallower."""
     rows = detection_arrivals(spark, sf_dir).select(F.col("det_id").alias("evid"), "sta", "ot", "tp")
-    got = trial_locations(rows, tables.stations(spark, sf_dir), AssociationOptions(xy_grid=0.1))
+    got = trial_locations(rows, tables.stations(spark, sf_dir), AssociationOptions(depths=TRIAL_DEPTHS))
     best = best_row(got, ["evid"], [-F.col("n_pha"), F.col("rms"), F.col("dep")], ["dep", "lat", "lon", "n_pha", "rms", "gap"])
     return best.select("evid", "dep", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), "n_pha", F.round("rms", 3).alias("rms"), F.round("gap", 1).alias("gap"))
 

@@ -11,7 +11,7 @@ from tremorline.operators.asof import epoch_lookup
 from tremorline.operators.greedy import linked_clusters
 from tremorline.operators.ranking import best_row
 from tremorline.plans import tables
-from tremorline.plans.associate import AssociationOptions, associate, detection_arrivals
+from tremorline.plans.associate import associate, detection_arrivals
 from tremorline.plans.relational import SECOND, clustered
 from tremorline.session import cut, load
 
@@ -98,7 +98,7 @@ def o03_ground_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o21_event_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Associated events and their phases as text: the event's line, then a line per phase in the order of its stations."""
     arrivals = cut(detection_arrivals(spark, sf_dir), "arrivals")
-    events = cut(associate(arrivals, tables.stations(spark, sf_dir), AssociationOptions(xy_grid=0.05)), "events")
+    events = cut(associate(arrivals, tables.stations(spark, sf_dir)), "events")
     phases = events.select("ot", "lat", "lon", "dep", F.explode("pick_ids").alias("pick_id")).join(arrivals.drop("ot"), "pick_id")
     return formats.event_lines(events, phases).select("event", "ord", "line")
 
