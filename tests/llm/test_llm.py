@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tremorline.llm.components import group_ids, local_roots
+from tremorline.llm.components import _divide, group_ids, local_roots
 from tremorline.llm.mixing import MixOptions, mix_documents, whole_uses
 from tremorline.llm.packing import best_filling, fill_report, pack, pack_items
 from tremorline.llm.spans import GEAR, MIN_CHARS, SPREAD, chunks, code_points, gear_hash, shared_spans, window_hashes
@@ -62,6 +62,16 @@ def test_groups_without_links(spark):
     assert group_ids(df.limit(0), "x", "y").count() == 0
 
 
+def test_star_is_divided(spark):
+    """A hub with most links: its cells are divided into parts of bounded size, and the group is still one."""
+    df = spark.createDataFrame([(7, 100 + i) for i in range(3000)] + [(5000 + i, 5001 + i) for i in range(0, 60, 2)], "x bigint, y bigint")
+    got = {r.id: r.group_id for r in group_ids(df, "x", "y", cell_edges=60).collect()}
+    assert {got[100 + i] for i in range(3000)} == {7} and got[5001] == 5000 and len(got) == 3061
+    cells = spark.range(2000).select(F.lit(0).alias("i"), (F.col("id") % 20 == 0).cast("int").alias("j"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    sizes = {(r.j, r.part): r["count"] for r in _divide(cells, 2000, 100).groupBy("i", "j", "part").count().collect()}
+    assert sum(sizes.values()) == 2000 and max(sizes.values()) < 200 and [p for j, p in sizes if j == 1] == [0]
+
+
 # ---------------------------------------------------------------- problem 6
 
 
