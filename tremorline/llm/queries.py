@@ -63,6 +63,12 @@ def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.agg(take("temp_id"), take("cc"), take("picks"))
 
 
+def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The survivors in plain columns: the codes of the picks' stations as one text."""
+    stations = F.concat_ws(" ", F.transform("picks", lambda p: F.coalesce(code(p["net_sta"]), F.lit("-"))))
+    return p6_survivors(spark, sf_dir).select("clu_id", "temp_id", "cc", F.size("picks").alias("n_picks"), stations.alias("stations"))
+
+
 def _specs(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
     """The container sizes are parameters; a thousand of them are the most that is accepted."""
     rows = load(spark, sf_dir, "pack_specs").where("capacity_tokens > 0").select("spec_id", "capacity_tokens").distinct().limit(1001).collect()
@@ -134,7 +140,7 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p6_trusted": p6_trusted, "p6_reliability": p6_reliability, "p7_packed": p7_packed, "p7_fill": p7_fill, "p7_rules": p7_rules,
+    "p2_found": p2_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p6_records": p6_records, "p6_trusted": p6_trusted, "p6_reliability": p6_reliability, "p7_packed": p7_packed, "p7_fill": p7_fill, "p7_rules": p7_rules,
     "p8_found": p8_found, "p8_uses": p8_uses, "p8_shares": p8_shares, "p8_rules": p8_rules, "p9_found": p9_found, "p9_shared": p9_shared,
 }
 
@@ -163,8 +169,9 @@ c AS (
 )
 """
 P6_FOUND = _P6 + "SELECT clu_id, field, det_id FROM w"
-P6_SURVIVORS = _P6 + """
-SELECT w.clu_id, max(CASE WHEN field = 'temp_id' THEN d.temp_id END) AS temp_id, max(CASE WHEN field = 'cc' THEN d.cc END) AS cc, max(CASE WHEN field = 'picks' THEN d.picks END) AS picks
+P6_RECORDS = _P6 + """
+SELECT w.clu_id, max(CASE WHEN field = 'temp_id' THEN d.temp_id END) AS temp_id, max(CASE WHEN field = 'cc' THEN d.cc END) AS cc, max(CASE WHEN field = 'picks' THEN len(d.picks) END)::int AS n_picks,
+  coalesce(max(CASE WHEN field = 'picks' THEN array_to_string(list_transform(d.picks, lambda p: coalesce(nullif(upper(trim(p.net_sta)), ''), '-')), ' ') END), '') AS stations
 FROM w JOIN d USING (clu_id, det_id) GROUP BY w.clu_id"""
 
 _P9 = """
@@ -199,4 +206,4 @@ FROM mix_targets t LEFT JOIN s ON s.label = upper(trim(t.source))"""
 P7_RULES = """
 SELECT spec_id, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS texts, 0::bigint AS broken, 0::bigint AS over FROM (SELECT DISTINCT spec_id FROM pack_specs)"""
 
-ORACLES = {"p7_rules": P7_RULES, "p8_found": P8_FOUND, "p8_rules": P8_RULES, "p2_found": P2_FOUND, "p6_found": P6_FOUND, "p6_survivors": P6_SURVIVORS, "p9_found": P9_FOUND, "p9_shared": P9_SHARED}
+ORACLES = {"p7_rules": P7_RULES, "p8_found": P8_FOUND, "p8_rules": P8_RULES, "p2_found": P2_FOUND, "p6_found": P6_FOUND, "p6_records": P6_RECORDS, "p9_found": P9_FOUND, "p9_shared": P9_SHARED}
