@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,20 +34,18 @@ class Field:
     high: float | None = None
     above: float | None = None
 
-    def parsed(self, text: Column) -> Column:
+    def parsed(self, text: str) -> str:
+        """The value of the SQL expression ``text``, null if it is none."""
         if self.kind == "number":
-            return text.try_cast("double")
-        return F.try_to_timestamp(text, F.lit("yyyy/MM/dd")).cast("date") if self.kind == "day" else text
+            return f"try_cast({text} AS double)"
+        return f"try_to_timestamp({text}, 'yyyy/MM/dd')" if self.kind == "day" else text
 
-    def in_range(self, text: Column) -> Column:
-        value, ok = self.parsed(text), F.lit(True)
+    def in_range(self, text: str) -> str:
+        value = self.parsed(text)
         if self.kind == "text":
-            return ok
-        ok = value.isNotNull()
-        for bound, test in ((self.low, lambda v, b: v >= b), (self.high, lambda v, b: v <= b), (self.above, lambda v, b: v > b)):
-            if bound is not None:
-                ok = ok & test(value, F.lit(bound))
-        return F.coalesce(ok, F.lit(False))
+            return "true"
+        bounds = [f"{value} {sign} {bound}" for bound, sign in ((self.low, ">="), (self.high, "<="), (self.above, ">")) if bound is not None]
+        return f"coalesce({' AND '.join([f'{value} IS NOT NULL', *bounds])}, false)"
 
 
 @dataclass(frozen=True)
@@ -86,55 +83,55 @@ def split_rows(lines: DataFrame, line_col: str, schemas: Sequence[RowSchema] = S
     Other columns are kept as they are; columns of the added names are replaced.
     """
     rows = lines.withColumn("__line", F.coalesce(F.col(line_col), F.lit("")))
-    line = F.col("__line")
-    rows = rows.where(~line.rlike(r"\A\s*#"))
+    rows = rows.where(~F.col("__line").rlike(r"\A\s*#"))
     # no notation of a field holds blanks, quotes or commas, so in a row that matches they can go
-    rows = rows.withColumn("__cells", F.split(F.translate(line, ' \t\r"', ""), ","))
-    cells, n = F.col("__cells"), F.size("__cells")
-    valid = F.lit(False)
-    for s in schemas:
-        ranged = reduce(lambda a, b: a & b, [f.in_range(F.get(cells, F.lit(i))) for i, f in enumerate(s.fields)] + _in_order(s, cells))
-        valid = F.when(n == len(s.fields), line.rlike(s.prefix(len(s.fields))) & ranged).otherwise(valid)
-    none = F.struct(F.lit(None).cast("string").alias("reason"), F.lit(None).cast("int").alias("broken"))
-    verdict = F.when(F.coalesce(valid, F.lit(False)), none).otherwise(F.transform(F.array(line), lambda x: _first_failure(x, schemas))[0])
+    rows = rows.withColumn("__cells", F.split(F.translate("__line", ' \t\r"', ""), ","))
+    whole = [f"WHEN size(__cells) = {len(s.fields)} THEN {' AND '.join([_matches('__line', s.prefix(len(s.fields))), *[f.in_range(f'get(__cells, {i})') for i, f in enumerate(s.fields)], *_in_order(s, '__cells')])}" for s in schemas]
+    valid = f"CASE {' '.join(whole)} ELSE false END" if schemas else "false"
+    verdict = f"CASE WHEN coalesce({valid}, false) THEN {_why('NULL', 'NULL')} ELSE {_let('__line', 'l', _first_failure('l', schemas))} END"
     # a generated column, so that a filter on it does not make Spark evaluate it a second time
-    rows = rows.select("*", F.explode(F.array(verdict)).alias("__why"))
+    rows = rows.select("*", F.explode(F.expr(f"array({verdict})")).alias("__why"))
     kept = [c for c in lines.columns if c not in ("parts", "reason", "broken")]
-    return rows.select(*kept, F.when(F.col("__why.reason").isNull(), cells).alias("parts"), F.col("__why.reason").alias("reason"), F.col("__why.broken").alias("broken"))
+    return rows.select(*kept, F.when(F.col("__why.reason").isNull(), F.col("__cells")).alias("parts"), F.col("__why.reason").alias("reason"), F.col("__why.broken").alias("broken"))
 
 
 def _part(i: int) -> Column:
     return F.get("parts", F.lit(i))
 
 
-def _in_order(schema: RowSchema, cells: Column) -> list[Column]:
+def _matches(text: str, pattern: str) -> str:
+    return f"rlike({text}, r'{pattern}')"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for the ``value``, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _why(reason: str, broken: str) -> str:
+    return f"named_struct('reason', CAST({reason} AS string), 'broken', CAST({broken} AS int))"
+
+
+def _in_order(schema: RowSchema, cells: str) -> list[str]:
     at = {f.name: i for i, f in enumerate(schema.fields)}
-    day = lambda name: schema.fields[at[name]].parsed(F.get(cells, F.lit(at[name])))
-    return [F.coalesce(day(a) < day(b), F.lit(False)) for a, b in schema.ordered]
-
-
-def _first_failure(line: Column, schemas: Sequence[RowSchema]) -> Column:
-    """``struct(reason, broken)`` of a failing line, from the first prefix of fields that fails."""
-    most = max(len(s.fields) for s in schemas)
-    broken = lambda reason, at: F.struct(F.lit(reason).alias("reason"), F.lit(at).cast("int").alias("broken"))
-
-    def by_schema(s: RowSchema, cells: Column) -> Column:
-        out = broken("value", len(s.fields))  # all prefixes match: the last field breaks the order
-        for i in reversed(range(len(s.fields))):
-            out = F.when(~line.rlike(s.prefix(i + 1)) | ~s.fields[i].in_range(F.get(cells, F.lit(i))), broken("value", i + 1)).otherwise(out)
-        return out
-
-    def judge(fields: Column) -> Column:
-        """``fields`` are those of the longest prefix that keeps the rule of quotes; it must be the whole line."""
-        n = F.size(fields)
-        length = F.aggregate(fields, n - 1, lambda total, f: total + F.length(f))
-        plain = F.transform(fields, lambda f: F.translate(f, ' \t\r"', ""))
-        out = broken("columns", F.least(n, F.lit(most)) + 1)
-        for s in schemas:
-            out = F.when(n == len(s.fields), by_schema(s, plain)).otherwise(out)
-        return F.when(length < F.length(line), broken("quoting", n + 1)).otherwise(out)
-
-    return F.transform(F.array(F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(NEXT_FIELD), F.lit(1))), judge)[0]
+    day = lambda name: schema.fields[at[name]].parsed(f"get({cells}, {at[name]})")
+    return [f"coalesce({day(a)} < {day(b)}, false)" for a, b in schema.ordered]
+
+
+def _first_failure(line: str, schemas: Sequence[RowSchema]) -> str:
+    """Reason and broken field of a failing line, from the first prefix of fields that fails."""
+    most = max((len(s.fields) for s in schemas), default=0)
+
+    def by_schema(s: RowSchema) -> str:
+        steps = [f"WHEN NOT {_matches(line, s.prefix(i + 1))} OR NOT {f.in_range(f'get(c, {i})')} THEN {_why(repr('value'), str(i + 1))}" for i, f in enumerate(s.fields)]
+        return f"CASE {' '.join(steps)} ELSE {_why(repr('value'), str(len(s.fields)))} END"  # all prefixes match: the last field breaks the order
+
+    # ``f``: the fields of the longest prefix that keeps the rule of quotes; it must be the whole line
+    short = f"aggregate(f, size(f) - 1, (total, x) -> total + length(x)) < length({line})"
+    plain = "transform(f, y -> translate(y, ' \\t\\r\"', ''))"
+    cases = [f"WHEN {short} THEN {_why(repr('quoting'), 'size(f) + 1')}", *[f"WHEN size(f) = {len(s.fields)} THEN {_let(plain, 'c', by_schema(s))}" for s in schemas]]
+    judged = f"CASE {' '.join(cases)} ELSE {_why(repr('columns'), f'least(size(f), {most}) + 1')} END"
+    return _let(f"regexp_extract_all(concat({line}, ','), r'{NEXT_FIELD}', 1)", "f", judged)
 
 
 def station_table(lines: DataFrame, line_col: str = "line") -> DataFrame:
