@@ -101,7 +101,7 @@ def brute_jumps(rows, rule):
     seen = {r[0]: r for r in rows if r[1] and r[3] is not None and r[3] != rule.missing}
     for src in {r[1].strip().upper() for r in seen.values()}:
         own = [(r[2], r[0], math.log10(r[3])) for r in seen.values() if r[1].strip().upper() == src and math.isfinite(r[3]) and r[3] > 0]
-        values = sorted(y for _, _, y in own)
+        values = sorted(round(y, 3) for _, _, y in own)
         q1, mid, q3 = (values[max(0, math.ceil(f * len(values)) - 1)] for f in (0.25, 0.5, 0.75))
         r = max((q3 - q1) / 1.349, rule.limit / 40) ** 2
         x, p = 0.0, 0.25 * r

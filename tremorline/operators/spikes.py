@@ -28,6 +28,10 @@ from tremorline.functions.geo import code, micros
 from tremorline.session import cut, small_side, spread
 
 
+#: Decimals of the (log10) readings whose counts give a source's level and spread; they bound the counts of a source.
+DIGITS = 3
+
+
 @dataclass(frozen=True)
 class ReadingRule:
     """What a reading may be. ``limit`` is in units of the (log10) value."""
@@ -123,8 +127,8 @@ def flag_readings(df: DataFrame, id_col: str, source_col: str, time_col: str, va
     sorted_rows = sourced.repartitionByRange(blocks, "source", "t", "id").dropDuplicates(["source", "t", "id"])
     readings = cut(sorted_rows.withColumn("block", F.spark_partition_id()), "sorted")
     z = F.when(F.col("ok"), F.log10("y") if rule.log10 else F.col("y"))
-    levels = small_side(readings.groupBy("source").agg(F.percentile_approx(z, [0.25, 0.5, 0.75], 10000).alias("q")), "levels")
-    readings = readings.join(levels, "source").where("q is not null or not ok")
+    levels = small_side(_quartiles(readings.where("ok").select("source", F.round(z, DIGITS).alias("z"))), "levels")
+    readings = readings.join(levels, "source", "left")
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return _flag_block(key, pdf, rule)
@@ -153,6 +157,14 @@ def flag_readings(df: DataFrame, id_col: str, source_col: str, time_col: str, va
     return wrong.unionByName(inner).unionByName(crossing).dropDuplicates(["row_id", "reason"])
 
 
+def _quartiles(values: DataFrame) -> DataFrame:
+    """``source, q``: the quartiles of ``z`` (the first value that so many are at or below), from counts per value, however the rows are divided."""
+    counts = values.groupBy("source", "z").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("source").orderBy("z").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("upto", upto).withColumn("total", F.sum("n").over(Window.partitionBy("source")))
+    return counts.groupBy("source").agg(F.array(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * f), F.col("z"))) for f in (0.25, 0.5, 0.75)]).alias("q"))
+
+
 FOUND = "row_id bigint, reason string, score double, source string, block int, t bigint, y double, far boolean, x double, p double"
 
 

@@ -38,7 +38,7 @@ def _flags(tab: str, row_id: str, source: str, at: str, value: str, read: str, b
 SELECT * FROM (
   WITH RECURSIVE b AS (SELECT DISTINCT {row_id} AS row_id, nullif(upper(trim({source})), '') AS source, {at} AS t, {value} AS y FROM {tab} WHERE {read}),
   c AS (SELECT *, {bad} AS bad FROM b),
-  q AS (SELECT source, quantile_disc({z}, [0.25, 0.5, 0.75]) AS q FROM c WHERE NOT bad AND source IS NOT NULL GROUP BY source),
+  q AS (SELECT source, quantile_disc(round({z}, 3), [0.25, 0.5, 0.75]) AS q FROM c WHERE NOT bad AND source IS NOT NULL GROUP BY source),
   s AS (SELECT row_id, source, t, {z} - q[2] AS z, power(greatest((q[3] - q[1]) / 1.349, {limit} / 40.0), 2) AS r FROM c JOIN q USING (source) WHERE NOT bad),
   n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY t, row_id) AS k FROM s WHERE t IS NOT NULL),
   f AS (
