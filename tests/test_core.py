@@ -364,6 +364,32 @@ def test_match_helpers():
     assert stacked.tolist() == [1.0, 1.5, 2.0, 3.0, 0.5]
 
 
+@pytest.fixture(scope="module")
+def vector_table(spark, tmp_path_factory):
+    """Noise in stretches of 200 vectors and a rest of one; the first vector of label 1 again as that rest, of label 2 over the edge
+    of two stretches and as the rest, of label 3 nowhere."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for label, vectors, copies in ((1, 201, [4200]), (2, 401, [4186, 8400]), (3, 400, [])):
+        trace = 0.1 * rng.normal(size=(3, 21 * vectors))
+        trace[:, :21] = rng.normal(size=(3, 21))
+        for at in copies:
+            trace[:, at : at + 21] = trace[:, :21]
+        rows += [(1000 * label + i, label, [*trace[:, 21 * i : 21 * i + 21].ravel().tolist(), 0.0]) for i in range(vectors)]
+    folder = tmp_path_factory.mktemp("vectors")
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(str(folder / "embeddings.parquet"))
+    return str(folder)
+
+
+def test_matched_vectors_at_edges(spark, vector_table):
+    """A rest of one vector has no window of its own, and copies on the edge of a stretch or behind it are found once."""
+    got = [r for r in registry.QUERIES["o62_matched_vectors"](spark, vector_table).collect() if r.cc > 0.9]
+    want = {(1, 0): 4199, (2, 0): 4185, (2, 1): 4199}
+    assert len(got) == 3 and {(r.label, r.part) for r in got} == want.keys() and all(abs(r["sample"] - want[r.label, r.part]) <= 3 for r in got)
+    x = np.arange(5.0)
+    assert signal.correlate(x, x).tolist() == [0.0] and len(signal.correlate(np.arange(6.0), x)) == 1
+
+
 def test_shear_estimators():
     """The search ends behind the strongest shear, its onset lies between the bounds, and settling goes back."""
     tp, ts, n = int(20 * FS), int(26 * FS), int(60 * FS)

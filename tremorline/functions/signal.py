@@ -119,9 +119,12 @@ def rolling_norm(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def correlate(data: np.ndarray, template: np.ndarray) -> np.ndarray:
-    """Normalised correlation; value ``k`` belongs to the window from sample ``k + 1`` on. Values that are not finite are 0."""
+    """Normalised correlation; value ``k`` belongs to the window from sample ``k + 1`` on. Values that are not finite are 0.
+
+    Data without such a window, because they are not longer than the template, give a single 0.
+    """
     n = len(template)
-    if n > len(data):
+    if n >= len(data):
         return np.zeros(1)
     size = 1 << int(np.ceil(np.log2(len(data) + n)))
     full = np.fft.irfft(np.fft.rfft(data, size) * np.conj(np.fft.rfft(template, size)), size)

@@ -32,10 +32,17 @@ def _joined(pdf: pd.DataFrame) -> list[list[float]]:
 
 
 def vector_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``label, part, sta, vec_id, data``: stretches of ``VECTORS`` vectors of a label, with the first one's id."""
+    """``label, part, sta, vec_id, data``: stretches of ``VECTORS`` vectors of a label, with the first one's id.
+
+    A stretch takes along the first vector of the next one: correlation gives no value for the window at a stretch's first sample, so every
+    window of the label's trace but the very first, which is the template, has its value in exactly one stretch.
+    """
     vecs = load(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), F.col("embedding").alias("v"))
     vecs = vecs.where(F.col("label").isNotNull() & (F.size("v") >= 3 * WIDTH))
-    rows = ordered.positions(vecs, ["label"], "vec_id", "label", bucket=100_000).withColumn("part", F.floor((F.col("pos") - 1) / VECTORS))
+    rows = ordered.positions(vecs, ["label"], "vec_id", "label", bucket=100_000)
+    part = F.floor((F.col("pos") - 1) / VECTORS)
+    shared = (F.col("pos") > 1) & (F.col("pos") % VECTORS == 1)
+    rows = rows.withColumn("part", F.explode(F.when(shared, F.array(part - 1, part)).otherwise(F.array(part))))
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"label": [key[0]], "part": [key[1]], "sta": ["v"], "vec_id": [int(pdf["vec_id"].min())], "data": [_joined(pdf)]})
