@@ -390,6 +390,18 @@ def test_matched_vectors_at_edges(spark, vector_table):
     assert signal.correlate(x, x).tolist() == [0.0] and len(signal.correlate(np.arange(6.0), x)) == 1
 
 
+def test_vector_picks_at_edges(spark, vector_table):
+    """A match has its pick unless the search leaves the label's trace, whatever stretch the match lies in."""
+    matches = {(r.label, r.part, r["sample"]): r.cc for r in registry.QUERIES["o62_matched_vectors"](spark, vector_table).collect()}
+    picks = {(r.label, r.part, r["sample"]): r for r in registry.QUERIES["o66_vector_picks"](spark, vector_table).collect()}
+    length = {1: 201 * 21, 2: 401 * 21, 3: 400 * 21}
+    inside = {k for k in matches if 6 <= k[1] * 4200 + int(k[2]) <= length[k[0]] - 27}
+    edges = {k for k in inside if int(k[2]) < 6 or int(k[2]) > 4194}
+    assert picks.keys() == inside and edges and len(inside) < len(matches)
+    (copy,) = [p for k, p in picks.items() if matches[k] > 0.9]
+    assert (copy.label, copy.part) == (2, 0) and copy.cc_p > 0.99 and copy.cc_s > 0.99 and abs(copy["sample"] + round(copy.dt_p * 21) - 4185) <= 1 and copy.dt_p == copy.dt_s
+
+
 def test_shear_estimators():
     """The search ends behind the strongest shear, its onset lies between the bounds, and settling goes back."""
     tp, ts, n = int(20 * FS), int(26 * FS), int(60 * FS)

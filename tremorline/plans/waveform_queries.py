@@ -32,22 +32,28 @@ def _joined(pdf: pd.DataFrame) -> list[list[float]]:
 
 
 def vector_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``label, part, sta, vec_id, data``: stretches of ``VECTORS`` vectors of a label, with the first one's id.
+    """``label, part, sta, vec_id, lo, hi, data``: stretches ``data[lo:hi]`` of ``VECTORS`` vectors of a label, with the first one's id.
 
     A stretch takes along the first vector of the next one: correlation gives no value for the window at a stretch's first sample, so every
-    window of the label's trace but the very first, which is the template, has its value in exactly one stretch.
+    window of the label's trace but the very first, which is the template, has its value in exactly one stretch. ``data`` has a vector more on
+    either side, where there is one, so that picks are sought around matches at the edges too.
     """
     vecs = load(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), F.col("embedding").alias("v"))
     vecs = vecs.where(F.col("label").isNotNull() & (F.size("v") >= 3 * WIDTH))
     rows = ordered.positions(vecs, ["label"], "vec_id", "label", bucket=100_000)
     part = F.floor((F.col("pos") - 1) / VECTORS)
-    shared = (F.col("pos") > 1) & (F.col("pos") % VECTORS == 1)
-    rows = rows.withColumn("part", F.explode(F.when(shared, F.array(part - 1, part)).otherwise(F.array(part))))
+    place = (F.col("pos") - 1) % VECTORS
+    before, after = (part > 0) & (place < 2), place == VECTORS - 1
+    rows = rows.withColumn("part", F.explode(F.array_compact(F.array(part, F.when(before, part - 1), F.when(after, part + 1)))))
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"label": [key[0]], "part": [key[1]], "sta": ["v"], "vec_id": [int(pdf["vec_id"].min())], "data": [_joined(pdf)]})
+        place = pdf["pos"] - 1 - key[1] * VECTORS
+        own, lo = pdf[(place >= 0) & (place < VECTORS)], int((place < 0).sum()) * WIDTH
+        hi = lo + int(((place >= 0) & (place <= VECTORS)).sum()) * WIDTH
+        out = [(key[0], key[1], "v", int(own["vec_id"].min()), lo, hi, _joined(pdf))] if len(own) else []  # else behind the label's end
+        return pd.DataFrame(out, columns=["label", "part", "sta", "vec_id", "lo", "hi", "data"])
 
-    return rows.select("label", "part", "vec_id", "v").groupBy("label", "part").applyInPandas(kernel, "label bigint, part bigint, sta string, vec_id bigint, data array<array<float>>")
+    return rows.select("label", "part", "pos", "vec_id", "v").groupBy("label", "part").applyInPandas(kernel, "label bigint, part bigint, sta string, vec_id bigint, lo int, hi int, data array<array<float>>")
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +61,7 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = waves.where("part = 0").select("label", F.transform("data", lambda x: F.slice(x, 1, WIDTH)).alias("own"))
     pairs = waves.join(first, "label").withColumn("temp_id", F.col("label").cast("string"))
     traces = pairs.select("temp_id", "part", "sta", F.col("own").alias("data"), F.lit(0).alias("tp"), F.lit(0).alias("ts"), F.lit(0).alias("ot"))
-    parts = pairs.select(*[F.col(c).alias(c) for c in ("temp_id", "part", "sta", "data")])  # new columns: both sides come from one table
+    parts = pairs.select(*[F.col(c).alias(c) for c in ("temp_id", "part", "sta", "lo", "hi", "data")])  # new columns: both sides come from one table
     return match_templates(traces, parts, MATCH)
 
 
