@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tremorline.llm import queries, survivors
 from tremorline.llm.components import _divide, group_ids, local_roots
 from tremorline.llm.mixing import MixOptions, mix_documents, whole_uses
 from tremorline.llm.packing import best_filling, fill_report, pack, pack_items
@@ -127,6 +129,22 @@ def test_reliability_decides_survivors(spark):
         truth_discovery(claims, tolerance=0.0, rounds=4)
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="test tables are not here")
+def test_no_stage_without_effect(spark, monkeypatch):
+    """``p6_found`` estimates no reliabilities, which its order could not heed, and has the winners of truth discovery; ``p6_trusted`` estimates them."""
+    want = sorted(tuple(r)[:3] for r in truth_discovery(queries._claims(spark, "/root/testdata/sf0.001", ordered=True))[0].collect())
+
+    def estimate(*_):
+        raise AssertionError("estimated")
+
+    monkeypatch.setattr(survivors, "_reliability", estimate)
+    assert sorted(map(tuple, queries.p6_found(spark, "/root/testdata/sf0.001").collect())) == want
+    with pytest.raises(AssertionError):
+        queries.p6_trusted(spark, "/root/testdata/sf0.001")
+    with pytest.raises(Exception, match="needs votes"):
+        survivors.ordered_winners(queries._claims(spark, "/root/testdata/sf0.001", ordered=False)).collect()
+
+
 def test_truth_discovery_against_numpy(spark):
     rng = random.Random(61)
     rows = [(i, rng.randrange(40), rng.choice("abcdef"), rng.choice(["p", "q", "r", None]), rng.choice([None, 1, 2, 3])) for i in range(300)]
